@@ -78,7 +78,7 @@ def rebalanced(slot_map: DataFrame, shards_now: int, shards_next: int) -> DataFr
     moved = (
         slot_map.crossJoin(F.broadcast(fair))
         .withColumn("surplus", F.sum("bytes").over(load) - F.col("fair"))
-        .withColumn("moves", (F.sum("bytes").over(share) <= F.col("surplus")) & (F.col("bytes") > 0))
+        .withColumn("moves", (F.sum("bytes").over(share) - F.col("bytes") / 2 <= F.col("surplus")) & (F.col("bytes") > 0))
     )
     turn = F.row_number().over(Window.partitionBy("moves").orderBy(F.desc("bytes"), "virtual_slot")) - 1
     width = 2 * (shards_next - shards_now)
