@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stringloom.llm import chat_format, decontaminate, virtual_slots
+from stringloom.llm import chat_format, decontaminate, lang_id, sentencepiece_viterbi, virtual_slots
 from stringloom.llm.shared import shared_folder, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,13 +26,19 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.formatted(turns))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.op8(spark, table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
 }
 
