@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stringloom.llm import chat_format, decontaminate, lang_id, sentencepiece_viterbi, virtual_slots
+from stringloom.llm import chat_format, decontaminate, lang_id, sentencepiece_viterbi, substring_dedup, suffix_array_dedup, virtual_slots
 from stringloom.llm.shared import shared_folder, table
 
 
@@ -34,12 +34,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.op8(spark, table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
