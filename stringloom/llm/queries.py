@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stringloom.llm import chat_format, decontaminate, interpolation_lm, lang_id, sentencepiece_viterbi, substring_dedup, suffix_array_dedup, virtual_slots
+from stringloom.llm import chat_format, cross_polytope, dart_minhash, decontaminate, interpolation_lm, lang_id, sentencepiece_viterbi, substring_dedup, suffix_array_dedup, virtual_slots
 from stringloom.llm.shared import shared_folder, table
 
 
@@ -19,10 +19,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation_lm.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.op5(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
@@ -49,7 +57,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language_model": op4_language_model,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_sharding": op8_sharding,
