@@ -4,8 +4,8 @@ The automaton reads a text once.  At each position the output links list all pie
 relaxes the best score of that position.  A character that is no piece is written as its byte pieces at the model's unknown
 score.  The best segmentation is the one of greatest total piece score; of equal ones the one whose last piece is longest.
 
-Texts are cut where no piece can reach across: before a run of spaces that follows another character, and around characters
-that occur in no piece.  The best segmentation of a text is the joined best segmentations of its parts, so parts are looked
+Texts are cut where no piece can reach across: before a run of spaces that follows another character, and between
+characters that stand next to each other in no piece, directly or over others (letters and full stops, say).  The best segmentation of a text is the joined best segmentations of its parts, so parts are looked
 up in a two-generation cache of bounded size and only new ones are run through the automaton.
 
 A space is written as the piece mark; a text gets one leading space (dummy prefix) that decoding removes.  The mark character
@@ -52,6 +52,32 @@ class Vocabulary:
         return cls(pieces, byte_ids)
 
 
+def parts_pattern(pieces: list[str]) -> re.Pattern[str]:
+    """A pattern whose matches cut a text only where no piece reaches across.
+
+    Characters next to each other in some piece are joined into classes; between characters of two classes a text may be
+    cut, and so it may before a run of spaces if no piece has a space after another character."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        above.setdefault(c, c)
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:], strict=False):
+            if a != " " and b == " ":
+                return re.compile(".+", re.S)
+            if a != " ":
+                above[top(a)] = top(b)
+    classes: dict[str, list[str]] = {}
+    for c in list(above):
+        classes.setdefault(top(c), []).append(c)
+    several = sorted((sorted(m) for m in classes.values() if len(m) > 1), key=lambda m: (-len(m), m))
+    return re.compile(f" *(?:{'|'.join([*('[' + ''.join(map(re.escape, m)) + ']+' for m in several), '[^ ]'])})| +", re.S)
+
+
 class Segmenter:
     """The automaton with its cache; one for each Python worker."""
 
@@ -87,33 +113,33 @@ class Segmenter:
         self.bytes = [p.encode() for p, _ in vocabulary.pieces]
         for value, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([value])
-        # where a text may be cut: around line feeds and tabs if no piece has them, before spaces if no piece goes across
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p, _, _ in used))
-        across = any(re.search("[^ ] ", p) for p, _, _ in used)
-        self.parts = re.compile(f"[{alone}]+|[^{alone}]+" if across and alone else ".+" if across else f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +", re.S)
+        #: The output links of each node, followed to their end: (length, score, id) of the pieces that end there, longest first.
+        self.ends: list[tuple[tuple[int, float, int], ...]] = [()] * len(self.next)
+        for node in queue:
+            own = ((self.length[node], self.score[node], self.piece[node]),) if self.piece[node] >= 0 else ()
+            self.ends[node] = own + self.ends[self.out[node]]
+        self.parts = parts_pattern([p for p, _, _ in used])
         self.limit, self.young, self.old = cache, {}, {}
 
     def segment(self, text: str) -> list[int]:
         """Ids of the best segmentation of `text` (no prefix is added)."""
         n = len(text)
-        best, back, via = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        follow, fail, out, length, score, piece = self.next, self.fail, self.out, self.length, self.score, self.piece
+        best, back, via = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        follow, fail, ends, lowest = self.next, self.fail, self.ends, self.lowest
         node = 0
         for i, c in enumerate(text, 1):
-            while node and c not in follow[node]:
+            child = follow[node].get(c)
+            while child is None and node:
                 node = fail[node]
-            node = follow[node].get(c, 0)
-            at = node if piece[node] >= 0 else out[node]
-            top, single = -np.inf, False
-            while at:
-                size = length[at]
-                value = best[i - size] + score[at]
+                child = follow[node].get(c)
+            node = child or 0
+            top, size = -np.inf, 0
+            for size, score, piece in ends[node]:
+                value = best[i - size] + score
                 if value > top:
-                    top, back[i], via[i] = value, i - size, piece[at]
-                single = single or size == 1
-                at = out[at]
-            if not single and best[i - 1] + self.lowest > top:
-                top, back[i], via[i] = best[i - 1] + self.lowest, i - 1, -1
+                    top, back[i], via[i] = value, i - size, piece
+            if size != 1 and best[i - 1] + lowest > top:
+                top, back[i], via[i] = best[i - 1] + lowest, i - 1, -1
             best[i] = top
         ids: list[int] = []
         while n:
