@@ -1,10 +1,60 @@
-"""Corpus pipeline (filled in below as its stages are finished)."""
+"""Corpus pipeline: five stages from raw documents to token ids.
+
+Each stage is a function of (spark, docs, sf_dir).  Its result is written as Parquet and read again as the next stage's docs.
+All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stringloom.llm import dart_minhash, decontaminate, lang_id, sentencepiece_viterbi, substring_dedup
+from stringloom.llm.shared import table, written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter have no language and go; all others stay as they are."""
+    return lang_id.known_language(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays."""
+    return dart_minhash.one_of_each(docs)
+
+
+def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of 13 and more words that a smaller document id has are cut out of the text; no document goes."""
+    cut = substring_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else cut
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark window go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds `piece_ids`, their number, and whether decoding them gives the text back."""
+    vocabulary = sentencepiece_viterbi.Vocabulary.load()
+    both = sentencepiece_viterbi.decoded(sentencepiece_viterbi.encoded(docs, vocabulary), vocabulary, text_col="decoded_text")
+    return both.withColumns({"n_pieces": F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"), "round_trip": F.col("decoded_text").eqNullSafe(F.col("text"))}).drop("decoded_text")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("minhash_near_dedup", one_of_each_group),
+    ("substring_dedup", without_repeated_spans),
+    ("benchmark_decontamination", without_benchmark),
+    ("sentencepiece", token_ids),
+]
+
+#: The stages' similarity joins, automata and models have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
