@@ -1,10 +1,445 @@
-"""Named queries and the SQL that checks them."""
+"""Named queries over whole tables, and the SQL that checks them.
+
+Short-string corpora are `part.p_name` and `customer.c_name`; `benchmark.text` and `documents.text` stand for long strings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stringloom.functions.strings import packed_segment
+from stringloom.operators import corpus, grouping, prefixes, suffix_array, tree, validate
+from stringloom.sources.durable import written
+
+BUDGET = 500
+SPLITS = 96
+OVERLAP = 1024
+LCP_RANGE = 128
+BUCKET_BUDGET = 2000
+BUCKETS = 8
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str, table: str, id_col: str, text_col: str) -> DataFrame:
+    # Python workers started from here on find this package wherever the driver found it
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return corpus.corpus(spark.read.parquet(f"{sf_dir}/{table}.parquet"), id_col, text_col)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir, "part", "p_partkey", "p_name")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir, "customer", "c_custkey", "c_name")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def part_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.suffixes(parts(spark, sf_dir))
+
+
+def customer_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.suffixes(customers(spark, sf_dir))
+
+
+def _with(table: str, id_col: str, text_col: str) -> str:
+    return f"""WITH c AS (SELECT {id_col} AS doc_id, {text_col} AS text FROM {table}),
+s AS (SELECT doc_id, i AS pos, substr(text, i + 1) AS suf FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS i FROM c)),
+"""
+
+
+PART = _with("part", "p_partkey", "p_name")
+CUSTOMER = _with("customer", "c_custkey", "c_name")
+DOCUMENTS = _with("documents", "doc_id", "text").split("s AS (")[0]
+LAST = "chr(1114111)"
+ALL_PREFIXES = """p AS (SELECT substr(suf, 1, n) AS prefix, count(*) AS cnt, sum(CASE WHEN length(suf) = n THEN 1 ELSE 0 END)::BIGINT AS n_term
+  FROM (SELECT suf, unnest(range(1, length(suf) + 1)) AS n FROM s) GROUP BY 1),
+"""
+COVER = f"""cover AS (SELECT p.prefix, p.cnt FROM p LEFT JOIN p q ON q.prefix = substr(p.prefix, 1, length(p.prefix) - 1)
+  WHERE (p.cnt <= {BUDGET} OR p.n_term = p.cnt) AND (length(p.prefix) = 1 OR q.cnt > {BUDGET})),
+"""
+BRANCHING = """b AS (SELECT prefix, count(*) AS n_leaves FROM (SELECT substr(suf, 1, n) AS prefix, substr(suf, n + 1, 1) AS nx
+  FROM (SELECT suf, unnest(range(0, length(suf) + 1)) AS n FROM s))
+  GROUP BY prefix HAVING count(DISTINCT CASE WHEN nx <> '' THEN nx END) + sum(CASE WHEN nx = '' THEN 1 ELSE 0 END) >= 2),
+"""
+DEPTH = """d AS (SELECT s.doc_id, s.pos, count(b.prefix) AS depth FROM (SELECT doc_id, pos, suf, unnest(range(0, length(suf) + 1)) AS n FROM s) s
+  LEFT JOIN b ON b.prefix = substr(s.suf, 1, s.n) GROUP BY 1, 2),
+"""
+SORTED = f"""sa AS (SELECT doc_id, pos, suf, lag(suf) OVER w AS prev, row_number() OVER w - 1 AS sa_rank FROM s WINDOW w AS (ORDER BY suf || {LAST}, doc_id, pos)),
+l AS (SELECT *, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(suf), length(prev)) + 1), lambda k: substr(suf, 1, k) = substr(prev, 1, k))) END::BIGINT AS lcp FROM sa),
+"""
+SPLIT = f"""o AS (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id) - length(text), 0)::BIGINT AS a, coalesce(sum(length(text)) OVER (ORDER BY doc_id), 0)::BIGINT AS z FROM c),
+w AS (SELECT greatest(ceil(max(z) / {SPLITS}), 1)::BIGINT AS width FROM o),
+g AS (SELECT doc_id, a, z, width, unnest(range(a // width, (z - 1) // width + 1)) AS split_id FROM o, w WHERE z > a),
+seg AS (SELECT split_id, doc_id, greatest(a, split_id * width) - a AS seg_start, least(z, (split_id + 1) * width) - greatest(a, split_id * width) AS seg_len,
+  z - least(z, (split_id + 1) * width) AS remain, greatest(a, split_id * width) AS merged_at FROM g),
+"""
+
+
+def end(sql: str) -> str:
+    """A chain of common table expressions followed by a SELECT."""
+    head, _, tail = sql.rpartition(",\nSELECT")
+    return f"{head}\nSELECT{tail}" if head else sql
+
+
+# Corpora and splits ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS text, length(p_name)::BIGINT AS n_chars FROM part")
+def corpus_scan(spark, sf_dir):
+    return parts(spark, sf_dir).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes FROM documents")
+def doc_lengths(spark, sf_dir):
+    return corpus.lengths(documents(spark, sf_dir))
+
+
+@query("SELECT doc_id, (sum(length(text)) OVER (ORDER BY doc_id) - length(text))::BIGINT AS start_at, (sum(length(text)) OVER (ORDER BY doc_id))::BIGINT AS end_at FROM documents")
+def merge_offsets(spark, sf_dir):
+    return corpus.merge_offsets(documents(spark, sf_dir))
+
+
+@query(end(DOCUMENTS + SPLIT + "SELECT split_id, doc_id, seg_start, seg_len, remain, merged_at FROM seg"))
+def input_splits(spark, sf_dir):
+    return corpus.input_splits(documents(spark, sf_dir), SPLITS)
+
+
+@query(
+    end(
+        DOCUMENTS
+        + SPLIT
+        + f"""SELECT split_id, seg.doc_id, seg_start, substr(text, seg_start + 1, seg_len + CASE WHEN row_number() OVER (PARTITION BY split_id ORDER BY merged_at DESC) = 1 THEN least(remain, {OVERLAP}) ELSE 0 END) AS content
+FROM seg JOIN c ON c.doc_id = seg.doc_id"""
+    )
+)
+def split_content(spark, sf_dir):
+    return corpus.split_content(documents(spark, sf_dir), SPLITS, OVERLAP)
+
+
+@query(end(DOCUMENTS + SPLIT + "SELECT split_id, count(*) AS n_segments, sum(seg_len)::BIGINT AS split_len, max(merged_at + seg_len) - min(merged_at) = sum(seg_len) AS contiguous FROM seg GROUP BY split_id"))
+def split_check(spark, sf_dir):
+    return corpus.split_check(documents(spark, sf_dir), SPLITS)
+
+
+# Prefixes --------------------------------------------------------------------------------------------------------------
+
+
+@query(end(PART + "SELECT doc_id, pos, suf FROM s"))
+def suffixes(spark, sf_dir):
+    return part_suffixes(spark, sf_dir)
+
+
+@query(end(PART + "SELECT substr(suf, 1, 2) AS prefix, count(*) AS cnt FROM s WHERE length(suf) >= 2 GROUP BY 1"))
+def prefix_count_k(spark, sf_dir):
+    return prefixes.window_counts(part_suffixes(spark, sf_dir), 2)
+
+
+@query(end(PART + "SELECT doc_id, pos, suf AS tail FROM s WHERE length(suf) < 3"))
+def terminal_windows(spark, sf_dir):
+    return prefixes.terminal_windows(part_suffixes(spark, sf_dir), 3)
+
+
+@query(end(PART + ALL_PREFIXES + "SELECT prefix, cnt, n_term FROM p WHERE length(prefix) <= 6"))
+def prefix_freq(spark, sf_dir):
+    return prefixes.prefix_freq(part_suffixes(spark, sf_dir), 1, 6)
+
+
+@query(
+    end(
+        PART
+        + ALL_PREFIXES
+        + f"""k AS (SELECT prefix, cnt, length(prefix) AS n FROM p WHERE length(prefix) % 4 = 2),
+SELECT k.prefix, k.cnt FROM k LEFT JOIN k up ON up.prefix = substr(k.prefix, 1, k.n - 4) WHERE k.cnt <= {BUDGET} AND (k.n = 2 OR up.cnt > {BUDGET})"""
+    )
+)
+def era_prefix_count(spark, sf_dir):
+    return prefixes.era_prefix_counts(part_suffixes(spark, sf_dir), BUDGET)
+
+
+@query(end(PART + f"SELECT substr(suf, 1, 6) AS prefix, count(*) AS cnt FROM s WHERE length(suf) >= 6 AND substr(suf, 1, 2) IN (SELECT substr(suf, 1, 2) FROM s WHERE length(suf) >= 2 GROUP BY 1 HAVING count(*) > {BUDGET}) GROUP BY 1"))
+def targeted_recount(spark, sf_dir):
+    return prefixes.targeted_recount(part_suffixes(spark, sf_dir), BUDGET, 2, 6)
+
+
+@query(
+    end(
+        PART
+        + ALL_PREFIXES
+        + """e AS (SELECT suf AS prefix, string_agg(doc_id || ':' || pos, ',' ORDER BY doc_id, pos) AS terminals FROM s WHERE length(suf) <= 4 GROUP BY 1),
+SELECT p.prefix, p.cnt, coalesce(terminals, '') AS terminals FROM p LEFT JOIN e ON e.prefix = p.prefix WHERE length(p.prefix) = 4 OR (length(p.prefix) < 4 AND n_term > 0)"""
+    )
+)
+def collect_info(spark, sf_dir):
+    return prefixes.collect_info(part_suffixes(spark, sf_dir), 4)
+
+
+@query(end(PART + ALL_PREFIXES + "SELECT prefix, n_term FROM p WHERE length(prefix) <= 4 AND n_term > 0"))
+def terminal_prefixes(spark, sf_dir):
+    return prefixes.terminal_prefixes(part_suffixes(spark, sf_dir), 4)
+
+
+@query(end(PART + ALL_PREFIXES + COVER + "SELECT doc_id, pos, suf AS tail, suf IN (SELECT prefix FROM cover) AS is_root FROM s WHERE length(suf) < 4"))
+def terminal_attach(spark, sf_dir):
+    return prefixes.terminal_attach(part_suffixes(spark, sf_dir), 4, BUDGET)
+
+
+@query(end(PART + "SELECT substr(suf, 1, n) AS prefix, count(*) AS cnt FROM s, (SELECT unnest(range(1, 5)) AS n) WHERE length(suf) >= 4 GROUP BY 1"))
+def trie_rollup(spark, sf_dir):
+    return prefixes.trie_rollup(part_suffixes(spark, sf_dir), 4)
+
+
+@query(end(PART + ALL_PREFIXES + COVER + "SELECT prefix, cnt FROM cover"))
+def s_prefix_cover(spark, sf_dir):
+    return prefixes.s_prefix_cover(part_suffixes(spark, sf_dir), BUDGET)
+
+
+@query(end(PART + ALL_PREFIXES + COVER + "SELECT count(*) AS n_roots, sum(cnt)::BIGINT AS total, max(cnt) AS max_cnt, max(length(prefix))::BIGINT AS max_len FROM cover"))
+def cover_summary(spark, sf_dir):
+    return prefixes.cover_summary(s_prefix_cover(spark, sf_dir))
+
+
+@query(
+    end(
+        PART
+        + ALL_PREFIXES
+        + COVER
+        + BRANCHING
+        + "SELECT cover.prefix, count(b.prefix) AS depth FROM (SELECT prefix, unnest(range(0, length(prefix))) AS n FROM cover) cover LEFT JOIN b ON b.prefix = substr(cover.prefix, 1, cover.n) GROUP BY 1"
+    )
+)
+def prefix_depth(spark, sf_dir):
+    return tree.interior(part_suffixes(spark, sf_dir), BUDGET)[0].select("prefix", "depth")
+
+
+@query(end(PART + ALL_PREFIXES + COVER + BRANCHING + DEPTH + f"SELECT d.doc_id, d.pos, d.depth FROM d JOIN s ON s.doc_id = d.doc_id AND s.pos = d.pos JOIN p ON p.prefix = s.suf WHERE p.cnt > {BUDGET} AND p.n_term < p.cnt"))
+def interior_terminals(spark, sf_dir):
+    return tree.interior_terminals(part_suffixes(spark, sf_dir), BUDGET)
+
+
+@query(end(PART + ALL_PREFIXES + COVER + "SELECT cover.prefix, s.doc_id, s.pos FROM s JOIN cover ON starts_with(s.suf, cover.prefix)"))
+def pattern_occurrences(spark, sf_dir):
+    own = part_suffixes(spark, sf_dir)
+    return prefixes.occurrences(own, prefixes.s_prefix_cover(own, BUDGET)).select("prefix", "doc_id", "pos")
+
+
+# Suffix arrays ---------------------------------------------------------------------------------------------------------
+
+
+@query(end(PART + SORTED + "SELECT doc_id, pos, sa_rank FROM sa"), "suffix_array")
+def suffix_array_query(spark, sf_dir):
+    return suffix_array.suffix_array(part_suffixes(spark, sf_dir))
+
+
+@query(end(CUSTOMER + SORTED + "SELECT doc_id, pos, lcp FROM l"))
+def lcp_array(spark, sf_dir):
+    return suffix_array.lcp_array(customer_suffixes(spark, sf_dir))
+
+
+@query(
+    end(
+        CUSTOMER
+        + SORTED
+        + f"""SELECT doc_id, pos, lcp, substr(prev, lcp + 1, 1) AS small_ch, substr(suf, lcp + 1, {LCP_RANGE}) AS large_range FROM l
+WHERE prev IS NOT NULL AND substr(prev || {LAST}, 1, 2) = substr(suf || {LAST}, 1, 2)"""
+    )
+)
+def lcp_range(spark, sf_dir):
+    return suffix_array.lcp_range(customer_suffixes(spark, sf_dir), LCP_RANGE)
+
+
+@query(
+    end(
+        PART
+        + SPLIT
+        + ALL_PREFIXES
+        + COVER
+        + f"""r AS (SELECT split_id, prefix, s.doc_id, s.pos, suf, lag(suf) OVER (PARTITION BY split_id, prefix ORDER BY suf || {LAST}, s.doc_id, s.pos) AS prev
+  FROM s JOIN cover ON starts_with(suf, prefix) JOIN seg ON seg.doc_id = s.doc_id AND s.pos >= seg_start AND s.pos < seg_start + seg_len),
+m AS (SELECT *, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(suf), length(prev)) + 1), lambda k: substr(suf, 1, k) = substr(prev, 1, k))) - length(prefix) END::BIGINT AS lcp FROM r),
+SELECT split_id, prefix, doc_id, pos, lcp, length(suf) > length(prefix) + lcp + 2 AS has_more FROM m"""
+    )
+)
+def local_lcp_array(spark, sf_dir):
+    own = parts(spark, sf_dir)
+    every = corpus.suffixes(own)
+    return suffix_array.local_lcp_array(own, every, prefixes.s_prefix_cover(every, BUDGET), SPLITS, 2)
+
+
+@query(end(PART + "SELECT * FROM (SELECT doc_id, pos, substr(suf, 1, 4) AS key, count(*) OVER (PARTITION BY substr(suf, 1, 4)) AS n FROM s) WHERE n > 1"))
+def unsorted_intervals(spark, sf_dir):
+    return suffix_array.unsorted_intervals(part_suffixes(spark, sf_dir), 4)
+
+
+@query(end(PART + "SELECT doc_id, pos, substr(suf, 5, 4) AS chunk FROM (SELECT *, count(*) OVER (PARTITION BY substr(suf, 1, 4)) AS n FROM s) WHERE n > 1"))
+def next_chunk(spark, sf_dir):
+    return suffix_array.next_chunk(part_suffixes(spark, sf_dir), 4, 4)
+
+
+@query(end(_with("benchmark", "item_id", "text") + SORTED + "SELECT doc_id, pos, sa_rank FROM sa"))
+def suffix_array_refined(spark, sf_dir):
+    return suffix_array.refined_ranks(docs(spark, sf_dir, "benchmark", "item_id", "text"), 8, lambda df: written(df, "ranks"))
+
+
+@query(end(PART + SORTED + "SELECT method, doc_id, pos, sa_rank FROM sa, (SELECT unnest(['ins', 'radix', 'radix_ins', 'naive_quick', 'java']) AS method)"))
+def sort_methods(spark, sf_dir):
+    own = part_suffixes(spark, sf_dir)
+    results = [suffix_array.suffix_array(own, m).select(F.lit(m).alias("method"), "doc_id", "pos", "sa_rank") for m in suffix_array.SORTING]
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(end(CUSTOMER + "SELECT count(*) AS n_suffixes, 0::BIGINT AS n_violations FROM s"))
+def order_check(spark, sf_dir):
+    return suffix_array.order_check(customer_suffixes(spark, sf_dir))
+
+
+@query(
+    end(
+        PART
+        + """SELECT doc_id, pos, list_sum(list_transform(range(0, 4), lambda i: (CASE WHEN length(suf) > i THEN ascii(substr(suf, i + 1, 1)) WHEN length(suf) = i THEN 255 ELSE 0 END)::BIGINT << (8 * (3 - i))))::BIGINT AS packed FROM s"""
+    ),
+    "packed_segment",
+)
+def packed_segments(spark, sf_dir):
+    return part_suffixes(spark, sf_dir).select("doc_id", "pos", packed_segment(F.col("suf")).alias("packed"))
+
+
+# Trees -----------------------------------------------------------------------------------------------------------------
+
+
+@query(end(PART + "SELECT suf, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1"))
+def equal_suffix_groups(spark, sf_dir):
+    return tree.equal_suffixes(part_suffixes(spark, sf_dir))
+
+
+@query(end(PART + BRANCHING + "SELECT prefix, n_leaves, length(prefix)::BIGINT AS str_len FROM b"))
+def internal_nodes(spark, sf_dir):
+    return tree.internal_nodes(part_suffixes(spark, sf_dir))
+
+
+@query(end(PART + BRANCHING + DEPTH + "SELECT doc_id, pos, depth FROM d"))
+def leaf_depth(spark, sf_dir):
+    return tree.leaf_depth(part_suffixes(spark, sf_dir), BUDGET)
+
+
+@query(end(CUSTOMER + BRANCHING + DEPTH + "SELECT doc_id, pos, depth FROM d"))
+def leaf_depth_relational(spark, sf_dir):
+    return tree.leaf_depth_relational(customer_suffixes(spark, sf_dir))
+
+
+LINES = (
+    ALL_PREFIXES
+    + COVER
+    + BRANCHING
+    + DEPTH
+    + """f AS (SELECT coalesce('subtreeForRoot_' || array_to_string(list_transform(string_split(cover.prefix, ''), lambda x: ascii(x)::VARCHAR), '_') || '_', 'MainTrieRes') AS file, d.depth || ' ' || d.doc_id || ':' || d.pos AS line, d.doc_id, d.pos, d.depth
+  FROM d JOIN s ON s.doc_id = d.doc_id AND s.pos = d.pos LEFT JOIN cover ON starts_with(s.suf, cover.prefix)),
+"""
+)
+
+
+@query(end(PART + LINES + "SELECT file, line FROM f"))
+def leaf_lines(spark, sf_dir):
+    return tree.leaf_lines(part_suffixes(spark, sf_dir), BUDGET)
+
+
+# Checker ---------------------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, sf_dir):
+    """Result lines, and as many lines that are none."""
+    good = tree.leaf_lines(part_suffixes(spark, sf_dir), BUDGET).select("line")
+    return good.unionByName(parts(spark, sf_dir).select(F.concat(F.lit("not a "), "text").alias("line")))
+
+
+@query(end(PART + LINES + "SELECT doc_id || ':' || pos AS name, depth::VARCHAR AS depth FROM f"))
+def parse_result_lines(spark, sf_dir):
+    return validate.parsed_lines(_lines(spark, sf_dir))
+
+
+@query(end(PART + LINES + "SELECT doc_id || ':' || pos AS name, depth::VARCHAR AS depth FROM f"))
+def parse_result_lines_whole(spark, sf_dir):
+    files = tree.leaf_lines(part_suffixes(spark, sf_dir), BUDGET).groupBy("file").agg(F.concat_ws("\n", F.collect_list("line")).alias("content"))
+    return validate.parsed_files(files)
+
+
+def _both_results(spark, sf_dir):
+    """A correct result, and one whose depth is one too large at every seventh position and that lacks the string starts."""
+    correct = validate.parsed_lines(tree.leaf_lines(part_suffixes(spark, sf_dir), BUDGET))
+    other = tree.leaf_depth_relational(part_suffixes(spark, sf_dir)).where("pos > 0")
+    wrong = other.select((F.col("depth") + (F.col("pos") % 7 == 6).cast("long")).alias("depth"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("name"))
+    return correct, wrong.select("name", F.col("depth").cast("string").alias("depth"))
+
+
+JUDGED = "v AS (SELECT doc_id || ':' || pos AS name, depth::VARCHAR AS correct_res, (depth + CASE WHEN pos % 7 = 6 THEN 1 ELSE 0 END)::VARCHAR AS judge_res FROM d WHERE pos > 0),\n"
+
+
+@query(end(PART + BRANCHING + DEPTH + JUDGED + "SELECT name, correct_res, judge_res FROM v"))
+def validation_join(spark, sf_dir):
+    return validate.compared(*_both_results(spark, sf_dir))
+
+
+@query(end(PART + BRANCHING + DEPTH + JUDGED + "SELECT (SELECT count(*) FROM d) AS n_correct, (SELECT count(*) FROM v) AS n_judged, (SELECT count(*) FROM v) AS n_both, (SELECT count(*) FROM v WHERE correct_res <> judge_res) AS n_different"))
+def validation_summary(spark, sf_dir):
+    return validate.summary(*_both_results(spark, sf_dir))
+
+
+@query(end(PART + BRANCHING + DEPTH + JUDGED + "SELECT name, correct_res, judge_res FROM v WHERE correct_res <> judge_res"))
+def validation_mismatches(spark, sf_dir):
+    return validate.mismatches(*_both_results(spark, sf_dir))
+
+
+# Grouping --------------------------------------------------------------------------------------------------------------
+
+
+def _assigned(spark, sf_dir, method):
+    return grouping.assigned(s_prefix_cover(spark, sf_dir), method, BUCKET_BUDGET, BUCKETS)
+
+
+def _grouping(method: str) -> Query:
+    return lambda spark, sf_dir: _assigned(spark, sf_dir, method)
+
+
+#: Number partitioning as a recursion: one root a step, into the least loaded bucket of least number.
+BALANCED = f"""r AS (SELECT prefix, cnt, row_number() OVER (ORDER BY cnt DESC, prefix) AS i FROM cover),
+t AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS prefix, 0::BIGINT AS cnt, 0::BIGINT AS bucket, list_transform(range(0, {BUCKETS}), lambda x: 0::BIGINT) AS loads
+  UNION ALL SELECT r.i, r.prefix, r.cnt, list_position(loads, list_min(loads))::BIGINT - 1,
+    list_transform(range(0, {BUCKETS}), lambda x: loads[x + 1] + CASE WHEN x = list_position(loads, list_min(loads)) - 1 THEN r.cnt ELSE 0 END) FROM t JOIN r ON r.i = t.i + 1),
+"""
+for _method in grouping.METHODS:
+    QUERIES[f"grouping_{_method}"] = _grouping(_method)
+ORACLES["grouping_hg"] = end((PART + ALL_PREFIXES + COVER + BALANCED).replace("WITH c AS", "WITH RECURSIVE c AS", 1) + "SELECT prefix, cnt, bucket FROM t WHERE i > 0")
+
+
+@query(end((PART + ALL_PREFIXES + COVER + BALANCED).replace("WITH c AS", "WITH RECURSIVE c AS", 1) + "SELECT prefix, bucket, bucket // 3 AS iteration, bucket % 3 AS part FROM t WHERE i > 0"))
+def bucket_iterations(spark, sf_dir):
+    return grouping.iterations(_assigned(spark, sf_dir, "hg"), 3)
+
+
+@query()
+def grouping_review(spark, sf_dir):
+    return grouping.review(_assigned(spark, sf_dir, "bfhg"), BUCKETS)
