@@ -6,11 +6,11 @@ signature, and counts if its weight lies in the element's region.  Each coordina
 signatures agree in a coordinate with the probability of the weighted Jaccard similarity.  Only darts up to the rank where
 all coordinates are hit are thrown, so the work is a few darts for each coordinate, not coordinates times elements.
 
-Joining.  Documents with equal shingle sets are one class.  Classes that share a band of the signature meet in a bucket: each
-is first compared with the bucket's least class (a star, so links grow with rows, not with pairs).  Then, in buckets whose
-classes are not all linked yet, pairs of different components are compared, most similar signatures first, in rounds until no
-pair is left; so no link is lost to the star.  A link is a Jaccard similarity of the five-word shingle sets of at least 0.8,
-computed on the texts.
+Joining.  Documents with equal shingle sets are one class.  Classes that share a band of the signature meet in a bucket; a
+bucket offers links from its classes to its least one, so candidates grow with rows, not with pairs.  Classes joined by such
+candidates form units of bounded size, and inside a unit each class is compared exactly with those that it is not yet joined
+with, so no link is lost that would join two groups, and only links that join something leave the task.  A link is a Jaccard
+similarity of the five-word shingle sets of at least 0.8, computed on the texts.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words has one shingle; null and wordless texts link with
 nothing; equal texts are linked; rows that share an id are told apart by their text; further columns are kept by
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm.graph import components
-from stringloom.llm.shared import written
+from stringloom.llm.shared import shuffle_partitions, written
 from stringloom.llm.textkit import BASE_1, BASE_2, U64, WHITE, gram_hashes, groups_of_bytes, mixed, span_hashes, text_buffer, word_hashes, word_spans
 
 SHINGLE = 5
@@ -36,8 +36,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Agreeing coordinates below which a pair is not compared further: five standard deviations under the mean at 0.8.
 AGREE = int(COORDINATES * SIMILARITY - 5 * (COORDINATES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Pairs of two components tried in the first round of a bucket; each further round tries four times as many.
-TRIED = 4
+#: Classes and shingles of a family that is compared as one unit, classes of a part of a bucket, shingles of a shard of units.
+FAMILY, FAMILY_SHINGLES, PART, SHARD_SHINGLES = 4096, 4_000_000, 2048, 2_000_000
 DART, CELL, SPOT, RANK = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93)
 
 
@@ -86,37 +86,38 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, weights: np.ndarray |
     seed = mixed(elements[which] + (cell.astype(U64) + U64(1)) * CELL)
     owner, weight = owner[which], weights[which]
     mass = np.bincount(owner, width, n)
-    limit = np.full(n, k * (np.log(k) + 4)) / np.maximum(mass, 1e-9)
-    rank, thrown = np.zeros(len(seed)), np.zeros(len(seed), np.int64)
+    limit = np.full(n, k * (np.log(k) + 2)) / np.maximum(mass, 1e-9)
+    partial = weight < low + width
+    rank, thrown = np.zeros(len(seed)), np.zeros(len(seed), U64)
     least = np.full(n * k, np.inf)
     out = np.zeros(n * k, U64)
     live = np.arange(len(seed))
-    filled = np.zeros(n, bool)
-    filled[mass == 0] = True
+    filled = mass == 0
     while len(live):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         active = live
         while len(active):
-            dart = mixed(seed[active] + (thrown[active].astype(U64) + U64(1)) * DART)
-            gap = -np.log(unit(mixed(dart + RANK))) / width[active]
-            ahead = rank[active] + gap
-            ok = ahead <= limit[owner[active]]
+            dart = mixed(seed[active] + (thrown[active] + U64(1)) * DART)
+            ahead = rank[active] - np.log(unit(mixed(dart + RANK))) / width[active]
+            ok = np.flatnonzero(ahead <= limit[owner[active]])
             active, dart, ahead = active[ok], dart[ok], ahead[ok]
             rank[active] = ahead
-            thrown[active] += 1
-            spot = low[active] + width[active] * unit(mixed(dart + SPOT))
-            inside = spot <= weight[active]
-            found.append((owner[active][inside] * k + (dart[inside] % U64(k)).astype(np.int64), ahead[inside], dart[inside]))
-        place, ahead, dart = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order = np.lexsort((ahead, place))
-        place, ahead, dart = place[order], ahead[order], dart[order]
-        first = np.ones(len(place), bool)
-        first[1:] = place[1:] != place[:-1]
-        place, ahead, dart = place[first], ahead[first], dart[first]
-        better = ahead < least[place]
-        least[place[better]], out[place[better]] = ahead[better], dart[better]
+            thrown[active] += U64(1)
+            place = owner[active] * k + (dart % U64(k)).astype(np.int64)
+            if (cut := partial[active]).any():
+                # a dart beyond the element's weight misses
+                inside = ~cut
+                inside[cut] = low[active[cut]] + width[active[cut]] * unit(mixed(dart[cut] + SPOT)) <= weight[active[cut]]
+                found.append((place[inside], ahead[inside], dart[inside]))
+            else:
+                found.append((place, ahead, dart))
+        for place, ahead, _ in found:
+            np.minimum.at(least, place, ahead)
+        for place, ahead, dart in found:
+            best = ahead == least[place]
+            out[place[best]] = dart[best]
         filled |= np.isfinite(least.reshape(n, k)).all(axis=1)
-        limit *= 2
+        limit *= 1.5
         live = live[~filled[owner[live]]]
     return out.reshape(n, k)
 
@@ -158,65 +159,77 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "bucket long, node long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have a Jaccard similarity of at least 0.8."""
-    # cheap bounds first: signatures and set sizes
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("signature").alias(f"{x}_signature"), F.col("n_shingles").alias(f"{x}_n"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * SIMILARITY)
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= AGREE))
-
-    likely = written(likely.select("a", "b", "a_signature", "b_signature").mapInArrow(agree, "a long, b long"), "near-pairs")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    leads = classes.join(nodes, "node", "left_semi").select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
+def _units(inside: DataFrame, classes: DataFrame) -> DataFrame:
+    """`unit, node, part, parted`: which classes are compared with each other.
+
+    Classes that buckets join, directly or over others, are a family.  A family within the bounds is one unit, so each of its
+    texts moves once.  In larger ones each bucket is a unit, and a bucket of more than `PART` classes is dealt out as pairs of
+    parts, in which only classes of different parts are compared."""
+    families = components(inside.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    sized = families.join(classes.select("node", "n_shingles"), "node")
+    sizes = sized.groupBy("component").agg((F.count(F.lit(1)) > FAMILY).alias("many"), (F.sum("n_shingles") > FAMILY_SHINGLES).alias("long"))
+    own = families.join(sizes.select("component", (F.col("many") | F.col("long")).alias("large")), "component")
+    whole = own.where("NOT large").select(F.col("component").alias("unit"), "node", F.lit(0).alias("part"), F.lit(False).alias("parted"))
+    members = inside.join(own.where("large").select("node"), "node", "left_semi")
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = members.join(counts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    unit = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    return whole.unionByName(dealt.select(unit.alias("unit"), "node", "part", (F.col("part") != F.col("other")).alias("parted")))
+
+
+def _links_of_unit(node: np.ndarray, part: np.ndarray, parted: bool, signature: np.ndarray, sets: list[np.ndarray], size: int) -> list[tuple[int, int]]:
+    """Links that join the classes of a unit: each class is compared exactly with the later ones that are not yet joined with it
+    and that size and signature allow; `sets` are numbers below `size`."""
+    n = np.array([len(x) for x in sets])
+    label = np.arange(len(node))
+    marked = np.zeros(size, bool)
+    out: list[tuple[int, int]] = []
+    for i in range(len(node) - 1):
+        later = slice(i + 1, None)
+        fit = (label[later] != label[i]) & (np.minimum(n[later], n[i]) >= SIMILARITY * np.maximum(n[later], n[i]))
+        if parted:
+            fit &= part[later] != part[i]
+        j = np.flatnonzero(fit) + i + 1
+        if len(j):
+            j = j[(signature[j] == signature[i]).sum(axis=1) >= AGREE]
+        if not len(j):
+            continue
+        marked[sets[i]] = True
+        shared = np.array([int(marked[sets[x]].sum()) for x in j.tolist()])
+        marked[sets[i]] = False
+        for x in j[shared >= SIMILARITY * (n[i] + n[j] - shared) - 1e-9].tolist():
+            if label[x] != label[i]:
+                out.append((int(node[i]), int(node[x])))
+                label[label == label[x]] = label[i]
+    return out
+
+
+def _links_of_shard(shard: pa.Table) -> pa.Table:
+    shard = shard.sort_by([("unit", "ascending"), ("node", "ascending")])
+    unit, node, part, parted = (shard.column(c).to_numpy() for c in ("unit", "node", "part", "parted"))
+    signature = np.frombuffer(b"".join(shard.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    flat, off = shingles(shard.column("text"))
+    cuts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist()
+    links: list[tuple[int, int]] = []
+    for a, z in zip(cuts, [*cuts[1:], len(unit)], strict=True):
+        names, number = np.unique(flat[off[a] : off[z]], return_inverse=True)
+        sets = np.split(number, (off[a + 1 : z] - off[a]))
+        links += _links_of_unit(node[a:z], part[a:z], bool(parted[a:z].any()), signature[a:z], sets, len(names))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _links(inside: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes as all links would: Jaccard similarity of the texts' shingle sets of at least 0.8."""
+    units = written(_units(inside, classes), "near-units")
+    nodes = units.select("node").distinct()
+    leads = classes.join(nodes, "node", "left_semi").select("node", "signature", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
     keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
-    texts = written(keyed.join(leads, keyed.id.eqNullSafe(leads.doc_id) & (keyed.hash == leads.text_hash)).groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    first = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (a, a_off), (b, b_off) = shingles(batch.column(2)), shingles(batch.column(3))
-            pair = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(x)) for x in (a_off, b_off)])
-            value = np.concatenate([a, b])
-            order = np.lexsort((value, pair))
-            value, pair = value[order], pair[order]
-            shared = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=batch.num_rows)
-            either = np.diff(a_off) + np.diff(b_off) - shared
-            yield batch.select(["a", "b"]).filter(pa.array(shared >= SIMILARITY * either - 1e-9))
-
-    return written(both.mapInArrow(exact, "a long, b long"), "near-links")
-
-
-def _crossing(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tries: int) -> DataFrame:
-    """Pairs of classes of one bucket that are in different components: for each two components the `tries` pairs of most
-    alike signatures.  `cut` says whether more pairs were left."""
-    own = buckets.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = own.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
-    rows = own.join(open_, "bucket", "left_semi").join(classes.select("node", "signature"), "node").select("bucket", "node", "component", "signature")
-
-    def run(group: pa.Table) -> pa.Table:
-        node, part = group.column("node").to_numpy(), np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
-        s = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        found: list[tuple[np.ndarray, ...]] = []
-        for i in range(len(s)):
-            agree = (s[i + 1 :] == s[i]).sum(axis=1)
-            j = np.flatnonzero((agree >= AGREE) & (part[i + 1 :] != part[i])) + i + 1
-            found.append((np.full(len(j), i), j, agree[j - i - 1]))
-        i, j, agree = (np.concatenate([f[x] for f in found]) for x in range(3))
-        two = np.minimum(part[i], part[j]) * (int(part.max()) + 1) + np.maximum(part[i], part[j])
-        order = np.lexsort((-agree, two))
-        i, j, two = i[order], j[order], two[order]
-        starts = np.flatnonzero(np.append(True, two[1:] != two[:-1])) if len(two) else np.zeros(0, np.int64)
-        nth = np.arange(len(two)) - np.repeat(starts, np.diff(np.append(starts, len(two))))
-        keep = nth < tries
-        a, b = np.minimum(node[i], node[j])[keep], np.maximum(node[i], node[j])[keep]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(np.full(int(keep.sum()), bool((~keep).any())))})
-
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    texts = keyed.join(leads, keyed.id.eqNullSafe(leads.doc_id) & (keyed.hash == leads.text_hash)).groupBy("node").agg(F.first("text").alias("text"), F.first("signature").alias("signature"))
+    total = units.join(classes.select("node", "n_shingles"), "node").agg(F.sum("n_shingles")).first()[0] or 0
+    shards = max(shuffle_partitions(docs.sparkSession), total // SHARD_SHINGLES)
+    full = units.join(texts, "node")
+    return written(full.groupBy(F.pmod(F.xxhash64("unit"), F.lit(shards))).applyInArrow(_links_of_shard, "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -229,24 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = written(_bands(classes), "near-bands")
     shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where(F.col("hub") != F.col("most")).select("bucket", "hub")
     inside = written(bands.join(shared, "bucket"), "near-buckets")
-    tested = written(inside.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
-    links = _verified(tested, classes, docs)
-    labels = components(links)
-    tries = TRIED
-    while True:
-        crossing = written(_crossing(inside.select("bucket", "node"), classes, labels, tries), "near-crossing")
-        fresh = written(crossing.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-fresh")
-        cut = crossing.where("cut").limit(1).count()
-        if fresh.limit(1).count():
-            more = _verified(fresh, classes, docs)
-            tested = tested.unionByName(fresh)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                labels = components(links)
-                continue
-        if not cut:
-            break
-        tries *= 4
+    labels = components(_links(inside, classes, docs))
     # the least id of each component, by its nodes' least ids
     groups = classes.select("node", "set_1", "set_2", "lead").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = groups.groupBy("component").agg(F.min("lead").alias("head"))
