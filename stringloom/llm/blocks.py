@@ -26,7 +26,7 @@ from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer
 #: Text bytes of a block.  A longer text is a block of its own; larger executors may take larger blocks.
 BLOCK_BYTES = 2 << 20
 #: Text bytes for each bucket of keys.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 
 Emit = Callable[[pa.RecordBatch, int, dict[str, bytes], int], Iterator[tuple[int, bytes]]]
 
@@ -94,6 +94,16 @@ class Blocks:
         sent = self.with_replies(replies or {}).mapInArrow(send, "bucket int, block long, message binary")
         return sent.groupBy("bucket").applyInArrow(respond, "block long, bucket int, reply binary")
 
+    def noted(self, note: Callable[[pa.RecordBatch, dict[str, bytes]], bytes], replies: dict[str, DataFrame]) -> DataFrame:
+        """`block, bucket, reply` with one value for each block that later passes get back, as if one bucket had replied."""
+        names = list(replies)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, rows, have in opened(batches, names):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([note(rows, have)], pa.binary())], names=["block", "bucket", "reply"])
+
+        return self.with_replies(replies).mapInArrow(run, "block long, bucket int, reply binary")
+
     def finished(self, finish: Callable[[pa.RecordBatch, dict[str, bytes]], pa.RecordBatch], schema, replies: dict[str, DataFrame]) -> DataFrame:
         """One last pass that turns each block into result rows."""
         names = list(replies)
@@ -132,7 +142,7 @@ def bucket_slices(sorted_keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers with their first bytes together, then their second bytes and so on, which a stream compressor can shorten."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, dtype, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from stringloom.llm.textkit import U64, gram_hashes, minimizer_runs, text_buffer
 
 #: Segments of one key beyond which they are taken apart into windows.
 HOT = 1000
-STRIP = 1 << 19
+STRIP = 1 << 16
 NULL_ID = -(1 << 63)
 ALL = U64((1 << 64) - 1)
 
@@ -41,12 +41,17 @@ ALL = U64((1 << 64) - 1)
 class Symbols:
     """A block's symbols; the content of symbols i..j-1 is `buffer[first[i]:last[j - 1]]`."""
 
-    values: np.ndarray
+    hashed: Callable[[], np.ndarray]
     offsets: np.ndarray
     buffer: bytes
     first: np.ndarray
     last: np.ndarray
 
+    @cached_property
+    def values(self) -> np.ndarray:
+        """A number for each symbol; not all passes need them."""
+        return self.hashed()
+
 
 @dataclass
 class Kind:
@@ -140,16 +145,32 @@ class Block:
     def all_segments(self) -> Segments:
         return segments(self.symbols, self.kind)
 
-    def repeated(self, have: dict[str, bytes]) -> tuple[Segments, Segments]:
-        """(segments with repeated keys that are not hot, single windows of hot segments)."""
+    def packed_repeats(self, have: dict[str, bytes]) -> bytes:
+        """The segments with repeated keys: first those that are not hot, then the hot ones."""
         own = self.all_segments()
         state = key_states(own.key, have["keys"])
-        return own.pick(state == 1), single_windows(self.symbols, self.kind, own.pick(state == 2))
+        cold, hot = own.pick(state == 1), own.pick(state == 2)
+        columns = [np.concatenate([a, b]) for a, b in ((cold.start, hot.start), (cold.count, hot.count), (cold.key, hot.key))]
+        return struct.pack("<qq", len(cold.start), len(hot.start)) + b"".join(map(planes, columns))
+
+    def repeated(self, have: dict[str, bytes]) -> tuple[Segments, Segments]:
+        """(segments with repeated keys that are not hot, hot segments)."""
+        data = have["segments"]
+        cold, hot = struct.unpack_from("<qq", data)
+        n = cold + hot
+        start, count, key = (unplanes(data[16 + 8 * n * i :], kind, n) for i, kind in enumerate((np.int64, np.int64, U64)))
+        both = Segments(np.searchsorted(self.symbols.offsets, start, "right") - 1, start, count, key)
+        return both.pick(np.arange(cold)), both.pick(np.arange(cold, n))
+
+    def windows(self, have: dict[str, bytes]) -> Segments:
+        """The single windows of hot segments."""
+        return single_windows(self.symbols, self.kind, self.repeated(have)[1])
 
     def judged(self, have: dict[str, bytes]) -> Segments:
         """The segments that go to shards, in order of (document id, start)."""
         cold, single = self.repeated(have)
         if "windows" in have:
+            single = single_windows(self.symbols, self.kind, single)
             single = single.pick(key_states(single.key, have["windows"]) > 0)
         both = Segments(*(np.concatenate([getattr(cold, f), getattr(single, f)]) for f in ("doc", "start", "count", "key")))
         return both.pick(np.lexsort((both.start, both.doc, self.ids[both.doc])))
@@ -184,7 +205,7 @@ def covered_symbols(blocks: Blocks, kind: Kind) -> dict[str, DataFrame]:
         return key_message(own.key, own.doc, kind.by_document, n_buckets)
 
     def send_windows(rows: pa.RecordBatch, have: dict[str, bytes]) -> Iterator[tuple[int, bytes]]:
-        own = Block(rows, kind).repeated(have)[1]
+        own = Block(rows, kind).windows(have)
         return key_message(own.key, own.doc, kind.by_document, n_buckets)
 
     def send_contents(rows: pa.RecordBatch, have: dict[str, bytes]) -> Iterator[tuple[int, bytes]]:
@@ -210,8 +231,12 @@ def covered_symbols(blocks: Blocks, kind: Kind) -> dict[str, DataFrame]:
         masks = kind.shard(texts, *(np.concatenate(c) for c in (keys, ids, starts, counts)))
         return [planes(x) for x in np.split(masks, np.cumsum(sizes)[:-1])]
 
-    replies = {"keys": written(blocks.exchange(send_keys, answer_keys), "repeat-keys")}
-    any_hot = replies["keys"].agg(F.max(F.expr("position(unhex('02'), reply)"))).first()[0]
+    def select(rows: pa.RecordBatch, have: dict[str, bytes]) -> bytes:
+        return Block(rows, kind).packed_repeats(have)
+
+    keys = written(blocks.exchange(send_keys, answer_keys), "repeat-keys")
+    replies = {"segments": written(blocks.noted(select, {"keys": keys}), "repeat-segments")}
+    any_hot = keys.agg(F.max(F.expr("position(unhex('02'), reply)"))).first()[0]
     if any_hot:
         replies["windows"] = written(blocks.exchange(send_windows, answer_keys, replies), "repeat-windows")
     replies["masks"] = written(blocks.exchange(send_contents, judge, replies).select("block", "bucket", "reply"), "repeat-masks")
@@ -222,7 +247,7 @@ def covered(block: Block, have: dict[str, bytes], n_buckets: int) -> np.ndarray:
     """Boolean mask of the block's symbols that lie in a window that starts earlier elsewhere."""
     own = block.judged(have)
     index, firsts, _ = block.contents(own)
-    n = len(block.symbols.values)
+    n = len(block.symbols.first)
     change = np.zeros(n + 1, np.int64)
     if len(firsts):
         reply, at, masks = have["masks"], 0, []

@@ -97,7 +97,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     last = inside == np.repeat(sizes - 1, sizes)
     joined = np.where(last, np.uint8(0x20), data[np.minimum(index, max(len(data) - 1, 0))]) if len(index) else np.zeros(0, np.uint8)
     first = np.cumsum(sizes) - sizes
-    return Symbols(word_hashes(data, starts, ends), word_offsets, joined.tobytes(), first, first + sizes - 1)
+    return Symbols(lambda: word_hashes(data, starts, ends), word_offsets, joined.tobytes(), first, first + sizes - 1)
 
 
 def judged(texts: list[bytes], keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -27,38 +27,55 @@ from stringloom.llm.textkit import U64, gram_hashes, span_index
 WINDOW = 100
 #: Bytes of a minimizer gram: at most 64 windows share one, as many as a mask has bits.
 GRAM = 37
-TRIGGER = 8
-TRIGGER_EVERY = 16
+TRIGGER = 4
+#: Text of one prefix-free parsing; one key's segments may go over it.
+PARSE_BYTES = 1 << 18
+TRIGGER_EVERY = 8
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     at = np.arange(len(data), dtype=np.int64)
-    return Symbols(data, offsets, data.tobytes(), at, at + 1)
-
-
-def ranked(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    _, rank = np.unique(codes, return_inverse=True)
-    return rank.astype(np.int64), int(rank.max()) + 1 if len(rank) else 0
-
-
-def suffix_ranks(rank: np.ndarray, distinct: int, ends: np.ndarray, known: int) -> np.ndarray:
-    """Ranks of all suffixes, each reaching to its sequence's end `ends`, by prefix doubling; `rank` orders the first `known`
-    symbols.  Equal suffixes get equal ranks; an ended suffix is less than any continuation."""
-    n = len(rank)
-    at = np.arange(n)
-    longest = int((ends - at).max()) if n else 0
-    while known < longest:
-        there = at + known
-        second = np.where(there < ends, rank[np.minimum(there, n - 1)] + 1, 0)
-        rank, now = ranked(rank * (distinct + 1) + second)
-        if now == distinct:
-            break
-        distinct, known = now, 2 * known
-    return rank
-
-
-def corpus_order(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions in suffix order, dictionary rank and parse rank of each position) of a collection of strings."""
+    return Symbols(lambda: data, offsets, data.tobytes(), at, at + 1)
+
+
+def heads(codes: np.ndarray) -> np.ndarray:
+    """For each element, how many are less than it."""
+    order = np.argsort(codes)
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = codes[order[1:]] != codes[order[:-1]]
+    first = np.flatnonzero(fresh)
+    out = np.empty(len(codes), np.int64)
+    out[order] = np.repeat(first, np.diff(np.append(first, len(codes))))
+    return out
+
+
+def suffix_ranks(codes: np.ndarray, ends: np.ndarray, known: int) -> np.ndarray:
+    """For each suffix, how many are less than it; a suffix reaches to its sequence's end in `ends`, and an ended suffix is less
+    than any continuation.  `codes` orders the first `known` symbols; prefix doubling does the rest, each round for the
+    suffixes that still share their rank."""
+    n = len(codes)
+    rank = heads(codes)
+    while True:
+        open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(open_):
+            return rank
+        there = open_ + known
+        second = np.where(there < ends[open_], rank[np.minimum(there, n - 1)] + 1, 0)
+        key = rank[open_] * (n + 1) + second
+        order = np.argsort(key)
+        key, open_ = key[order], open_[order]
+        group = rank[open_]
+        part = np.append(True, key[1:] != key[:-1])
+        whole = np.append(True, group[1:] != group[:-1])
+        if part.sum() == whole.sum():
+            return rank
+        at = np.arange(len(open_))
+        rank[open_] = group + np.maximum.accumulate(np.where(part, at, 0)) - np.maximum.accumulate(np.where(whole, at, 0))
+        known *= 2
+
+
+def corpus_order(text: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The positions of a collection of strings (or the `wanted` ones of them) in the order of their suffixes."""
     n = len(text)
     starts, lengths = offsets[:-1], np.diff(offsets)
     # phrases begin at string starts and at triggers that lie inside one string
@@ -85,24 +102,22 @@ def corpus_order(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     symbols = np.where(ended, 1, text[np.minimum(index, n - 1)].astype(np.int64) + 2)
     d_off = np.concatenate([[0], np.cumsum(sizes)])
     ends = np.repeat(d_off[1:], sizes)
-    packed, at = np.zeros(len(symbols), np.int64), np.arange(len(symbols))
-    for ahead in range(6):
-        packed = packed * 259 + np.where(at + ahead < ends, symbols[np.minimum(at + ahead, len(symbols) - 1)], 0)
-    rank, distinct = ranked(packed)
-    d_rank = suffix_ranks(rank, distinct, ends, 6)
+    m = len(symbols)
+    ahead, packed, room = np.append(symbols, np.zeros(6, np.int64)), symbols << 54, ends - np.arange(m)
+    for step in range(1, 7):
+        packed |= np.where(room > step, ahead[step : step + m], 0) << (9 * (6 - step))
+    d_rank = suffix_ranks(packed, ends, 7)
     # parse: phrase ranks in text order, a sequence for each string
-    word, words = ranked(d_rank[d_off[:-1]][of_phrase])
+    word = d_rank[d_off[:-1]][of_phrase]
     begins = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
     p_ends = np.repeat(np.append(begins[1:], len(phrase)), np.diff(np.append(begins, len(phrase))))
-    p_rank = suffix_ranks(word, words, p_ends, 1)
+    p_rank = suffix_ranks(word, p_ends, 1)
     after = np.where(final, 0, np.append(p_rank[1:], 0) + 1)
-    # every position: its phrase's dictionary suffix, then the parse from the next phrase on
-    holder = np.repeat(np.arange(len(phrase)), np.diff(np.append(phrase, n)))
-    inner = np.arange(n) - phrase[holder]
-    left = d_rank[d_off[of_phrase[holder]] + inner]
-    right = after[holder]
-    order = np.argsort(left * (int(after.max(initial=0)) + 1) + right, kind="stable")
-    return order, left, right
+    # a position: its phrase's dictionary suffix, then the parse from the next phrase on
+    at = np.arange(n) if wanted is None else wanted
+    holder = np.cumsum(np.bincount(phrase, minlength=n))[at] - 1
+    left = d_rank[(d_off[:-1][of_phrase] - phrase)[holder] + at]
+    return at[np.argsort(left * (int(after.max(initial=0)) + 1) + after[holder], kind="stable")]
 
 
 def window_groups(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +125,11 @@ def window_groups(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -
     none = np.zeros(0, np.int64)
     if not len(text):
         return none, none
-    order, _, _ = corpus_order(text, offsets)
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(text))
-    order = order[room[order] >= window]
-    if not len(order):
+    wanted = np.flatnonzero(room >= window)
+    if not len(wanted):
         return none, none
+    order = corpus_order(text, offsets, wanted)
     eight = np.zeros(len(text), U64)
     for i in range(8):
         eight[: len(text) - 7] = (eight[: len(text) - 7] << U64(8)) | text[i : len(text) - 7 + i].astype(U64)
@@ -127,8 +142,24 @@ def window_groups(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -
 
 
 def judged(texts: list[bytes], keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A shard's masks: bit j of a segment is set if the window from its byte j on starts earlier elsewhere."""
-    del keys
+    """A shard's masks: bit j of a segment is set if the window from its byte j on starts earlier elsewhere.
+
+    Segments of different keys share no window, so a shard's keys are taken some at a time."""
+    order = np.argsort(keys, kind="stable")
+    size = np.cumsum([len(texts[i]) for i in order.tolist()])
+    ends = np.append(np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1, len(order))
+    out, first = np.zeros(len(texts), U64), 0
+    while first < len(order):
+        done = size[first - 1] if first else 0
+        last = max(int(np.searchsorted(size, done + PARSE_BYTES, "right")), first + 1)
+        last = int(ends[np.searchsorted(ends, last)])
+        part = order[first:last]
+        out[part] = _judged([texts[i] for i in part.tolist()], ids[part], starts[part], counts[part])
+        first = last
+    return out
+
+
+def _judged(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     _, rank = np.unique(ids, return_inverse=True)
     place = np.lexsort((starts, rank)).tolist()
     # equal segments are one string of the collection, at their earliest place

@@ -172,13 +172,17 @@ def minimizer_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int
     where = np.arange(len(grams), dtype=U64)
     low = U64((1 << 21) - 1)
     least = (sliding_min((grams & ~low) | where, window - k + 1) & low).astype(np.int64)
-    bounds = offsets[np.searchsorted(offsets, np.arange(len(least)), "right")] if len(offsets) > 2 else np.full(len(least), offsets[-1])
-    valid = np.arange(len(least)) + window <= bounds
+    begins = offsets[1:-1]
+    valid = np.ones(len(least), bool)
+    if len(begins):
+        change = np.zeros(len(least) + 1, np.int32)
+        np.add.at(change, np.clip(begins - window + 1, 0, len(least)), 1)
+        np.add.at(change, np.minimum(begins, len(least)), -1)
+        valid = np.cumsum(change[:-1]) == 0
     fresh = valid.copy()
     fresh[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
     # a new text begins a new run even where the minimizer's place is the same
-    begins = offsets[1:-1]
-    begins = begins[(begins < len(least))]
+    begins = begins[begins < len(least)]
     fresh[begins] = valid[begins]
     starts = np.flatnonzero(fresh)
     last = valid.copy()
