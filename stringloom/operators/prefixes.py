@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.functions.strings import prefix
+from stringloom.sources.durable import written
 
 
 def windows(suffixes: DataFrame, k: int) -> DataFrame:
@@ -38,7 +39,8 @@ def over_budget_counts(suffixes: DataFrame, budget: int, start: int = 2, step: i
         counts = prefix_freq(live, low, high)
         parents = counts.where(F.col("cnt") > budget).select(F.col("prefix").alias("parent"))
         below = counts.where(F.length("prefix") > low).join(parents, F.expr("substring(prefix, 1, length(prefix) - 1)") == F.col("parent"), "left_semi")
-        kept = counts.where(F.length("prefix") == low).unionByName(below)
+        # written each round: the next rounds and the result read it, and plans must not grow with the rounds
+        kept = written(counts.where(F.length("prefix") == low).unionByName(below), "prefix-round")
         found = kept if found is None else found.unionByName(kept)
         targets = kept.where((F.col("cnt") > budget) & (F.length("prefix") == high) & (F.col("n_term") < F.col("cnt"))).select("prefix")
         if not targets.limit(1).count():
@@ -57,7 +59,7 @@ def era_prefix_counts(suffixes: DataFrame, budget: int, start: int = 2, step: in
     """`prefix, cnt` by growing windows: windows within budget are done, those over budget are counted again `step` longer."""
     k, live, found = start, suffixes, None
     while True:
-        counts = window_counts(live, k)
+        counts = written(window_counts(live, k), "window-round")
         done = counts.where(F.col("cnt") <= budget)
         found = done if found is None else found.unionByName(done)
         over = counts.where(F.col("cnt") > budget).select("prefix")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from stringloom.functions.strings import END
 from stringloom.operators.prefixes import occurrences, over_budget_counts
-from stringloom.sources.durable import written
 
 
 def branching(suffixes: DataFrame) -> DataFrame:
@@ -35,8 +34,7 @@ def equal_suffixes(suffixes: DataFrame) -> DataFrame:
 def interior(suffixes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """(cover roots `prefix, cnt, depth, stuck`, interior prefixes `prefix, below`): `depth` counts the branching proper
     prefixes of a root and `below` those of an interior prefix with itself; a stuck root is over budget but cannot grow."""
-    # written once, since every step below reads it again
-    counts = written(over_budget_counts(suffixes, budget), "prefix-counts").withColumn("parent", F.expr("substring(prefix, 1, length(prefix) - 1)"))
+    counts = over_budget_counts(suffixes, budget).withColumn("parent", F.expr("substring(prefix, 1, length(prefix) - 1)"))
     stuck = (F.col("cnt") > budget) & (F.col("n_term") == F.col("cnt"))
     children = counts.groupBy(F.col("parent").alias("prefix")).agg(F.count(F.lit(1)).alias("children"))
     top = suffixes.limit(1).select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("n_term"))
