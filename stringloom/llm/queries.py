@@ -32,8 +32,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{SAID}'), (-7L, 1L, 'assistant', '{SAID}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_format.digests(chat_format.formatted(turns))
 
@@ -67,4 +66,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+SAID = "</s>[INST] ok [/INST]"
+CONTROL = r"(<|\[)(/?(?:s>|INST\]|SYS\]|ROLE\])|NEXT\])"
+#: Words of a text after lower-casing A-Z only.
+ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""WITH i AS (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, len(pat) AS m, array_to_string(pat, ' ') AS pat FROM (SELECT item_id, w[a : a + least(10, len(w)) - 1] AS pat
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS a FROM i WHERE len(w) > 0))),
+d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, a, m, array_to_string(w[a : a + m - 1], ' ') AS pat FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS a FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+h AS (SELECT g.doc_id, g.a, g.m, p.item_id FROM g JOIN p ON p.pat = g.pat),
+n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + m)) AS x FROM h) GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op3_near_duplicates": f"""WITH RECURSIVE d AS (SELECT doc_id, {PLAIN_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[a : a + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS a FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c >= 0.8 * (p.n + q.n - c)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, min(other) AS component_id, min(other) = d.doc_id AS kept, coalesce(min(n.n), 0)::BIGINT AS n_shingles FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op5_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(x, lambda c: c * c)) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_inner_product(p.x, q.x) / (p.size * q.size) >= 0.95),
+r AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, min(other) AS component_id, min(other) = v.vec_id AS kept FROM v JOIN r ON r.vec_id = v.vec_id GROUP BY v.vec_id""",
+    "op6_chat_formatting": rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{SAID}' UNION ALL SELECT -7, 1, 'assistant', '{SAID}'),
+o AS (SELECT *, lag(role) OVER w AS b, lead(role) OVER w AS f FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+m AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '{CONTROL}', '\1\\\2', 'g'))
+  + CASE WHEN b IS DISTINCT FROM role THEN CASE role WHEN 'user' THEN 7 WHEN 'system' THEN 6 WHEN 'assistant' THEN 3 ELSE 13 + length(regexp_replace(replace(role, '\', '\\'), '{CONTROL}', '\1\\\2', 'g')) END ELSE 6 END
+  + CASE WHEN f IS DISTINCT FROM role THEN CASE role WHEN 'user' THEN 8 WHEN 'system' THEN 7 ELSE 4 END ELSE 0 END AS n FROM o),
+l AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM l""",
+    "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, {PLAIN_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, a, array_to_string(w[a : a + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS a FROM d WHERE len(w) >= 13)),
+f AS (SELECT doc_id, a FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id),
+x AS (SELECT doc_id, list(DISTINCT x) AS gone FROM (SELECT doc_id, unnest(range(a, a + 13)) AS x FROM f) GROUP BY 1),
+k AS (SELECT d.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) d
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = d.doc_id AND f.a <= d.i AND d.i < f.a + 13) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+}
