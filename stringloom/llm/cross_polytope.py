@@ -30,8 +30,8 @@ from stringloom.llm.shared import shuffle_partitions, written
 from stringloom.llm.textkit import U64, mixed
 
 COSINE = 0.95
-TABLES = 14
-CORNERS = 3
+TABLES = 12
+CORNERS = 4
 ROTATIONS = 3
 SEED = 20_240_229
 TILE = 1024
@@ -177,8 +177,8 @@ def _linked(shard: pa.Table) -> pa.Table:
         x[of] = vectors_of(lists.take(pa.array(of)))
         size = np.sqrt(np.einsum("ij,ij->i", x, x))
         size[size == 0] = 1
-        keys = np.zeros((len(nodes), TABLES, 1 + CORNERS), U64)
-        keys[of] = hasher(length).keys(x[of]) ^ mixed(np.full(1, length, U64))
+        # keys are only needed for the ends of links
+        keys, known = np.zeros((len(nodes), TABLES, 1 + CORNERS), U64), np.zeros(len(nodes), bool)
         first = np.flatnonzero(fresh & (lengths == length))
         sizes = np.diff(np.append(np.flatnonzero(fresh), len(node)))[np.searchsorted(np.flatnonzero(fresh), first)]
         for i, j in _candidates(first, sizes, x / size[:, None], index, own):
@@ -189,6 +189,11 @@ def _linked(shard: pa.Table) -> pa.Table:
                 r, u, v = i[a : a + (1 << 15)], index[i[a : a + (1 << 15)]], index[j[a : a + (1 << 15)]]
                 ok = np.einsum("ij,ij->i", x[u], x[v]) / (size[u] * size[v]) >= COSINE
                 r, u, v = r[ok], u[ok], v[ok]
+                fresh_ends = np.unique(np.concatenate([u, v]))
+                fresh_ends = fresh_ends[~known[fresh_ends]]
+                if len(fresh_ends):
+                    keys[fresh_ends] = hasher(length).keys(x[fresh_ends]) ^ mixed(np.full(1, length, U64))
+                    known[fresh_ends] = True
                 ok = _first_meeting(keys[u], keys[v]) == bucket[r].view(U64)
                 u, v = u[ok], v[ok]
                 np.add.at(count, u, copies_of[v])
