@@ -34,9 +34,7 @@ def truth(rows):
     return {i: (links.get(i, 0), top(i) if i in parent else i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_links_and_components(spark, monkeypatch, small):
-    monkeypatch.setattr(cp, "SMALL", small)
+def test_links_and_components(spark):
     rng = np.random.default_rng(3)
     rows = []
     for base in rng.normal(size=(30, 64)):
@@ -81,6 +79,29 @@ def test_parts_of_large_buckets(spark):
     assert sum(n for n, _ in whole.values()) >= 0.9 * sum(n for n, _ in want.values())
 
 
+def test_small_and_large_units_agree(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + rng.normal(size=(90, 64)) * 0.2
+    keys = cp.hasher(64).keys(x) ^ cp.mixed(np.full(1, 64, cp.U64))
+    rows = {}
+    for node in range(len(x)):
+        for key, own in zip(keys[node].ravel().view(np.int64).tolist(), np.tile(np.arange(1 + cp.CORNERS) == 0, cp.TABLES).tolist(), strict=True):
+            rows[key, node] = rows.get((key, node), False) or own
+    table = cp.pa.table({
+        "bucket": cp.pa.array([k for k, _ in rows], cp.pa.int64()),
+        "node": cp.pa.array([n for _, n in rows], cp.pa.int64()),
+        "own": list(rows.values()),
+        **{c: cp.pa.array([0] * len(rows), cp.pa.int32()) for c in ("low_part", "high_part", "part")},
+        "vector": [x[n].tolist() for _, n in rows],
+        "copies": cp.pa.array([1 + n % 3 for _, n in rows], cp.pa.int64()),
+    })
+    results = []
+    for small in (10**9, 1):
+        monkeypatch.setattr(cp, "SMALL", small)
+        results.append(cp._linked(table).sort_by("node").to_pydict())
+    assert results[0] == results[1] and sum(results[0]["links"]) > 0
+
+
 def test_hadamard_rotation_keeps_angles():
     hasher = cp.Hasher(50)
     x = np.random.default_rng(0).normal(size=(6, 50))
