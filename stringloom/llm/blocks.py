@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.shared import bucketed, shuffle_partitions
+from stringloom.llm.shared import bounded_batches, bucketed, shuffle_partitions
 from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer
 
 #: Text bytes of a block.  A longer text is a block of its own; larger executors may take larger blocks.
@@ -52,17 +52,23 @@ class Blocks:
         at = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 32
+            number, pending, size = TaskContext.get().partitionId() << 32, [], 0
             for batch in batches:
-                for a, z in groups_of_bytes(text_buffer(batch.column(at))[1], block_bytes):
-                    rows = batch.slice(a, z - a)
-                    # copied out, so that the slice does not carry the whole batch
-                    rows = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in rows.columns], schema=rows.schema)
-                    size = int(text_buffer(rows.column(at))[1][-1])
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([packed_rows(rows)], pa.binary())], names=["block", "n_bytes", "payload"])
-                    number += 1
-
-        self.table = bucketed(docs.mapInArrow(run, "block long, n_bytes long, payload binary"), label, "block", shuffle_partitions(spark))
+                offsets = text_buffer(batch.column(at))[1]
+                for a, z in groups_of_bytes(offsets, block_bytes):
+                    pending.append(batch.slice(a, z - a))
+                    size += int(offsets[z] - offsets[a])
+                    if 4 * size >= 3 * block_bytes:
+                        yield block(number, size, pending)
+                        number, pending, size = number + 1, [], 0
+            if pending:
+                yield block(number, size, pending)
+
+        def block(number: int, size: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(p.columns for p in parts), strict=True)], schema=parts[0].schema)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([packed_rows(rows)], pa.binary())], names=["block", "n_bytes", "payload"])
+
+        self.table = bucketed(bounded_batches(docs).mapInArrow(run, "block long, n_bytes long, payload binary"), label, "block", shuffle_partitions(spark))
         total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
         self.n_buckets = max(shuffle_partitions(spark), -(-total // bucket_bytes))
 
@@ -89,6 +95,7 @@ class Blocks:
         def respond(group: pa.Table) -> pa.Table:
             group = group.sort_by("block")
             out = answer(group.column("message").to_pylist())
+            pa.default_memory_pool().release_unused()
             return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "reply": pa.array(out, pa.binary())})
 
         sent = self.with_replies(replies or {}).mapInArrow(send, "bucket int, block long, message binary")
@@ -119,6 +126,7 @@ def opened(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tupl
     """(block number, rows, replies joined in bucket order) for each block."""
     for batch in batches:
         for i in range(batch.num_rows):
+            pa.default_memory_pool().release_unused()
             have = {}
             for name in names:
                 own = batch.column(batch.schema.get_field_index(name))[i].as_py() or []

@@ -260,9 +260,14 @@ def covered(block: Block, have: dict[str, bytes], n_buckets: int) -> np.ndarray:
         if not block.kind.by_document:
             lead &= start == start[leads][index]
         mask = np.where(lead, np.concatenate(masks)[index], ALL)
-        some = np.flatnonzero(mask)
-        for step in range(0, len(some), 1 << 16):
-            part = some[step : step + (1 << 16)]
+        # segments whose windows are all repeated are one span; only the others are taken apart
+        full = ALL >> (U64(64) - np.minimum(own.count, 64).astype(U64))
+        whole = (mask & full) == full
+        np.add.at(change, own.start[whole], 1)
+        np.add.at(change, own.start[whole] + own.count[whole] - 1 + block.kind.window, -1)
+        some = np.flatnonzero(~whole & (mask != 0))
+        for step in range(0, len(some), 1 << 13):
+            part = some[step : step + (1 << 13)]
             bits = ((mask[part][:, None] >> np.arange(64, dtype=U64)) & U64(1)).astype(bool) & (np.arange(64) < own.count[part][:, None])
             which, offset = np.nonzero(bits)
             begin = own.start[part][which] + offset

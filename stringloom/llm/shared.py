@@ -27,13 +27,27 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """Write `df` as a table bucketed by `key`, so that later joins on `key` leave its rows where they are."""
+    """Write `df` as a table bucketed by `key` in the shared folder, so that later joins on `key` leave its rows in place."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.option("compression", "none").bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.option("compression", "none").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and the Python worker at once.
+BATCH_ROWS = 1000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches held to `BATCH_ROWS` rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -144,46 +144,52 @@ def window_groups(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -
 def judged(texts: list[bytes], keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A shard's masks: bit j of a segment is set if the window from its byte j on starts earlier elsewhere.
 
-    Segments of different keys share no window, so a shard's keys are taken some at a time."""
-    order = np.argsort(keys, kind="stable")
-    size = np.cumsum([len(texts[i]) for i in order.tolist()])
-    ends = np.append(np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1, len(order))
-    out, first = np.zeros(len(texts), U64), 0
-    while first < len(order):
-        done = size[first - 1] if first else 0
-        last = max(int(np.searchsorted(size, done + PARSE_BYTES, "right")), first + 1)
-        last = int(ends[np.searchsorted(ends, last)])
-        part = order[first:last]
-        out[part] = _judged([texts[i] for i in part.tolist()], ids[part], starts[part], counts[part])
-        first = last
-    return out
-
-
-def _judged(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    Segments of different keys share no window, and one segment does not repeat its own: equal windows have their least grams
+    at different places.  So equal segments are one string at its earliest place, a key with one string needs no parsing, and
+    the others are taken some at a time."""
     _, rank = np.unique(ids, return_inverse=True)
     place = np.lexsort((starts, rank)).tolist()
-    # equal segments are one string of the collection, at their earliest place
     found: dict[bytes, int] = {}
     lead = np.empty(len(texts), np.int64)
     for at in place:
         lead[at] = found.setdefault(texts[at], at)
     strings = np.fromiter(found.values(), np.int64, len(found))
-    offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in strings.tolist()])]).astype(np.int64)
-    order, group = window_groups(np.frombuffer(b"".join(found), np.uint8), offsets)
+    strings = strings[np.argsort(keys[strings], kind="stable")]
+    own = keys[strings]
+    fresh = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+    n_own = np.diff(np.append(np.flatnonzero(fresh), len(own)))
+    several = np.repeat(n_own > 1, n_own)
+    strings, fresh = strings[several], fresh[several]
+    size = np.cumsum([len(texts[i]) for i in strings.tolist()])
+    ends = np.append(np.flatnonzero(fresh)[1:], len(strings))
+    out, first = np.zeros(len(texts), U64), 0
+    while first < len(strings):
+        done = size[first - 1] if first else 0
+        last = max(int(np.searchsorted(size, done + PARSE_BYTES, "right")), first + 1)
+        last = int(ends[np.searchsorted(ends, last)])
+        part = strings[first:last]
+        out[part] = _judged([texts[i] for i in part.tolist()], rank[part], starts[part])
+        first = last
+    same_place = (ids == ids[lead]) & (starts == starts[lead])
+    full = U64((1 << 64) - 1) >> (U64(64) - np.minimum(counts, 64).astype(U64))
+    return np.where(same_place, out[lead], full)
+
+
+def _judged(texts: list[bytes], rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Masks of different strings, by their suffix order."""
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    order, group = window_groups(np.frombuffer(b"".join(texts), np.uint8), offsets)
     out = np.zeros(len(texts), U64)
     if len(order):
         string = np.searchsorted(offsets, order, "right") - 1
         inside = order - offsets[string]
-        owner = strings[string]
-        doc, pos = rank[owner], starts[owner] + inside
+        doc, pos = rank[string], starts[string] + inside
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         least_doc = np.minimum.reduceat(doc, first)[group]
         least_pos = np.minimum.reduceat(np.where(doc == least_doc, pos, np.iinfo(np.int64).max), first)[group]
         later = (doc > least_doc) | (pos > least_pos)
-        np.bitwise_or.at(out, owner[later], U64(1) << inside[later].astype(U64))
-    same_place = (ids == ids[lead]) & (starts == starts[lead])
-    full = np.where(counts >= 64, U64((1 << 64) - 1), (U64(1) << np.minimum(counts, 63).astype(U64)) - U64(1))
-    return np.where(same_place, out[lead], full)
+        np.bitwise_or.at(out, string[later], U64(1) << inside[later].astype(U64))
+    return out
 
 
 KIND = Kind(WINDOW, GRAM, byte_symbols, judged, False)

@@ -188,7 +188,8 @@ def minimizer_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int
     last = valid.copy()
     last[:-1] &= ~valid[1:] | fresh[1:]
     counts = np.flatnonzero(last) + 1 - starts
-    return starts, counts, grams[least[starts]]
+    # mixed again: least hashes are small, and keys must spread over all buckets
+    return starts, counts, mixed(grams[least[starts]] + BASE_2)
 
 
 def concat_ranges(parts: list[np.ndarray], dtype) -> np.ndarray:
