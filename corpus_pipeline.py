@@ -37,8 +37,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds `piece_ids`, their number, and whether decoding them gives the text back."""
     vocabulary = sentencepiece_viterbi.Vocabulary.load()
-    both = sentencepiece_viterbi.decoded(sentencepiece_viterbi.encoded(docs, vocabulary), vocabulary, text_col="decoded_text")
-    return both.withColumns({"n_pieces": F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"), "round_trip": F.col("decoded_text").eqNullSafe(F.col("text"))}).drop("decoded_text")
+    back = max(docs.columns, key=len) + "_decoded"
+    both = sentencepiece_viterbi.decoded(sentencepiece_viterbi.encoded(docs, vocabulary), vocabulary, text_col=back)
+    return both.withColumns({"n_pieces": F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long"), "round_trip": F.col(back).eqNullSafe(F.col("text"))}).drop(back)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm.shared import bounded_batches, bucketed, shuffle_partitions
-from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer
+from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer, tidy
 
 #: Text bytes of a block.  A longer text is a block of its own; larger executors may take larger blocks.
 BLOCK_BYTES = 2 << 20
@@ -68,7 +68,7 @@ class Blocks:
             rows = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*(p.columns for p in parts), strict=True)], schema=parts[0].schema)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([packed_rows(rows)], pa.binary())], names=["block", "n_bytes", "payload"])
 
-        self.table = bucketed(bounded_batches(docs).mapInArrow(run, "block long, n_bytes long, payload binary"), label, "block", shuffle_partitions(spark))
+        self.table = bucketed(bounded_batches(docs).mapInArrow(tidy(run), "block long, n_bytes long, payload binary"), label, "block", shuffle_partitions(spark))
         total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
         self.n_buckets = max(shuffle_partitions(spark), -(-total // bucket_bytes))
 
@@ -98,7 +98,7 @@ class Blocks:
             pa.default_memory_pool().release_unused()
             return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "reply": pa.array(out, pa.binary())})
 
-        sent = self.with_replies(replies or {}).mapInArrow(send, "bucket int, block long, message binary")
+        sent = self.with_replies(replies or {}).mapInArrow(tidy(send), "bucket int, block long, message binary")
         return sent.groupBy("bucket").applyInArrow(respond, "block long, bucket int, reply binary")
 
     def noted(self, note: Callable[[pa.RecordBatch, dict[str, bytes]], bytes], replies: dict[str, DataFrame]) -> DataFrame:
@@ -109,7 +109,7 @@ class Blocks:
             for block, rows, have in opened(batches, names):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([note(rows, have)], pa.binary())], names=["block", "bucket", "reply"])
 
-        return self.with_replies(replies).mapInArrow(run, "block long, bucket int, reply binary")
+        return self.with_replies(replies).mapInArrow(tidy(run), "block long, bucket int, reply binary")
 
     def finished(self, finish: Callable[[pa.RecordBatch, dict[str, bytes]], pa.RecordBatch], schema, replies: dict[str, DataFrame]) -> DataFrame:
         """One last pass that turns each block into result rows."""
@@ -119,7 +119,7 @@ class Blocks:
             for _, rows, have in opened(batches, names):
                 yield finish(rows, have)
 
-        return self.with_replies(replies).mapInArrow(run, schema)
+        return self.with_replies(replies).mapInArrow(tidy(run), schema)
 
 
 def opened(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, pa.RecordBatch, dict[str, bytes]]]:

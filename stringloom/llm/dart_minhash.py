@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.llm.graph import components
-from stringloom.llm.shared import shuffle_partitions, written
-from stringloom.llm.textkit import BASE_1, BASE_2, U64, WHITE, gram_hashes, groups_of_bytes, mixed, span_hashes, text_buffer, word_hashes, word_spans
+from stringloom.llm.shared import bounded_batches, shuffle_partitions, written
+from stringloom.llm.textkit import BASE_1, BASE_2, U64, WHITE, gram_hashes, groups_of_bytes, mixed, span_hashes, text_buffer, tidy, word_hashes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,7 +37,7 @@ COORDINATES = BANDS * ROWS
 #: Agreeing coordinates below which a pair is not compared further: five standard deviations under the mean at 0.8.
 AGREE = int(COORDINATES * SIMILARITY - 5 * (COORDINATES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Classes and shingles of a family that is compared as one unit, classes of a part of a bucket, shingles of a shard of units.
-FAMILY, FAMILY_SHINGLES, PART, SHARD_SHINGLES = 4096, 4_000_000, 2048, 2_000_000
+FAMILY, FAMILY_SHINGLES, PART, SHARD_SHINGLES = 4096, 4_000_000, 2048, 500_000
 DART, CELL, SPOT, RANK = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93)
 
 
@@ -46,7 +46,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, off = text_buffer(texts)
     parts: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
-    for a, z in groups_of_bytes(off, 2 << 20):
+    for a, z in groups_of_bytes(off, 1 << 19):
         data, local = raw[off[a] : off[z]], off[a : z + 1] - off[a]
         starts, ends, words = word_spans(data, local, WHITE)
         own = word_hashes(data, starts, ends)
@@ -124,12 +124,12 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, weights: np.ndarray |
 
 def features(docs: DataFrame) -> DataFrame:
     """`doc_id, text_hash, set_1, set_2, n_shingles, signature` for each row; the signature is null without shingles."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = bounded_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off = text_buffer(batch.column(1))[1]
-            for a, z in groups_of_bytes(off, 2 << 20):
+            for a, z in groups_of_bytes(off, 1 << 19):
                 part = batch.slice(a, z - a)
                 flat, at = shingles(part.column(1))
                 n = np.diff(at)
@@ -141,7 +141,7 @@ def features(docs: DataFrame) -> DataFrame:
                     [part.column(0), part.column(2), pa.array(sets[0]), pa.array(sets[1]), pa.array(n, pa.int64()), signature], names=["doc_id", "text_hash", "set_1", "set_2", "n_shingles", "signature"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set_1 long, set_2 long, n_shingles long, signature binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, set_1 long, set_2 long, n_shingles long, signature binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:

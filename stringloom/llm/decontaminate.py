@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stringloom.llm.shared import written
-from stringloom.llm.textkit import LOWER, NOT_ALNUM, U64, covered, gram_hashes, groups_of_bytes, mixed, text_buffer, word_hashes, word_spans
+from stringloom.llm.shared import bounded_batches, written
+from stringloom.llm.textkit import LOWER, NOT_ALNUM, U64, covered, gram_hashes, groups_of_bytes, mixed, text_buffer, tidy, word_hashes, word_spans
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -123,7 +123,7 @@ def batch_hits(texts: pa.Array, tables: list[Patterns]) -> tuple[list[int], list
     n_words: list[int] = []
     spans: list[list[int]] = []
     items: list[set[str]] = []
-    for a, z in groups_of_bytes(off, 2 << 20):
+    for a, z in groups_of_bytes(off, 1 << 19):
         data = normal(raw[off[a] : off[z]])
         local = off[a : z + 1] - off[a]
         starts, ends, word_off = word_spans(data, local, NOT_ALNUM)
@@ -157,21 +157,22 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[
         yield block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of `docs` plus `hit struct<n_words, spans, items>`; spans are int32 pairs (first word, words)."""
-    state = docs.withColumn("hit", F.lit(None).cast(f"struct<{HIT_FIELDS.replace(' long', ':long').replace(' binary', ':binary').replace(' array', ':array')}>"))
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, hit_col: str = "hit") -> DataFrame:
+    """All columns of `docs` plus `hit struct<n_words, spans, items>` (an input column of that name is replaced); spans are
+    int32 pairs (first word, words)."""
+    state = bounded_batches(docs).withColumn(hit_col, F.lit(None).cast(f"struct<{HIT_FIELDS.replace(' long', ':long').replace(' binary', ':binary').replace(' array', ':array')}>"))
     context = docs.sparkSession.sparkContext
     first = True
     for block in _item_blocks(benchmark, block_bytes):
         if not first:
             state = written(state, "decontaminate")
-        state, first = _pass(state, context.broadcast(pattern_tables(block, window))), False
-    return _pass(state, context.broadcast([])) if first else state
+        state, first = _pass(state, hit_col, context.broadcast(pattern_tables(block, window))), False
+    return _pass(state, hit_col, context.broadcast([])) if first else state
 
 
-def _pass(state: DataFrame, tables) -> DataFrame:
+def _pass(state: DataFrame, hit_col: str, tables) -> DataFrame:
     names = state.columns
-    at, text_at = names.index("hit"), names.index("text")
+    at, text_at = names.index(hit_col), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = tables.value
@@ -186,7 +187,7 @@ def _pass(state: DataFrame, tables) -> DataFrame:
             columns = [c if k != at else pa.array(out, kind) for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return state.mapInArrow(run, state.schema)
+    return state.mapInArrow(tidy(run), state.schema)
 
 
 def hit_words(n: int, spans: bytes) -> int:
@@ -220,4 +221,5 @@ def op2(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs, with the columns of `docs`."""
-    return hits(docs, benchmark).where(F.size("hit.items") == 0).drop("hit")
+    hit = max(docs.columns, key=len) + "_hit"
+    return hits(docs, benchmark, hit_col=hit).where(F.size(f"{hit}.items") == 0).drop(hit)

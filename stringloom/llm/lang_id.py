@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer
+from stringloom.llm.shared import bounded_batches
+from stringloom.llm.textkit import U64, groups_of_bytes, text_buffer, tidy
 
 ORDER = 4
 ROWS_PER_LANG = 400
@@ -219,7 +220,7 @@ def _long(trees: Trees, data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
 def identified(docs: DataFrame, trees: Trees, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of `docs` plus the predicted language and score (input columns of these two names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    rows = docs.drop(label, score)
+    rows = bounded_batches(docs).drop(label, score)
     at, names = rows.columns.index("text"), [*rows.columns, label, score]
     schema = rows.withColumns({label: F.lit(""), score: F.lit(0.0)}).schema
 
@@ -228,7 +229,7 @@ def identified(docs: DataFrame, trees: Trees, label: str = "lang_pred", score: s
             labels, scores = predicted(batch.column(at), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

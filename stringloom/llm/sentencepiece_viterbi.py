@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stringloom.llm.shared import bounded_batches
+from stringloom.llm.textkit import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 200_000
@@ -201,22 +204,22 @@ class _Shared:
 def encoded(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids") -> DataFrame:
     """All columns of `docs` plus `piece_ids array<int>`."""
     shared = _Shared(docs.sparkSession, vocabulary)
-    rows = docs.drop(ids_col)
+    rows = bounded_batches(docs).drop(ids_col)
     at, names = rows.columns.index("text"), [*rows.columns, ids_col]
     schema = rows.withColumn(ids_col, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(shared)
         for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
+            for first in range(0, whole.num_rows, 250):
+                batch = whole.slice(first, 250)
                 packed = [None if t is None else own.encode(t) for t in batch.column(at).to_pylist()]
                 sizes = np.cumsum([0, *(len(p or b"") // 4 for p in packed)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(sizes), values, mask=pa.array([p is None for p in packed]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
@@ -235,7 +238,7 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids",
                 texts = [None if not column[i].is_valid else own.decode(column[i].values.to_numpy()) for i in range(len(column))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op7(docs: DataFrame, model: str = MODEL) -> DataFrame:

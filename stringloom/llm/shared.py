@@ -6,7 +6,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Only used where the session names no folder, as in tests on one machine.
@@ -56,7 +55,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; Python workers started from here on find this package wherever the driver found it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def digest_column(binary_or_text) -> F.Column:
-    return F.sha2(binary_or_text, 256)

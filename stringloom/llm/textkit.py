@@ -6,7 +6,8 @@ each word.  All arithmetic on hashes is modulo 2**64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,20 @@ NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[0x00:0x30] = NOT_ALNUM[0x3A:0x61] = NOT_ALNUM[0x7B:0x80] = True
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, giving freed memory back to the system at the end of a task: Python workers live on for later stages, and what
+    they keep counts against the executor."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, n + 1 offsets); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -192,14 +207,6 @@ def minimizer_runs(symbols: np.ndarray, offsets: np.ndarray, window: int, k: int
     return starts, counts, mixed(grams[least[starts]] + BASE_2)
 
 
-def concat_ranges(parts: list[np.ndarray], dtype) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
-
-
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Boolean mask of length n, true inside any of the spans."""
     change = np.zeros(n + 1, np.int64)

@@ -67,7 +67,7 @@ def test_edges(spark):
 
 def test_clean_documents_keep_columns(spark):
     line = "one two three four five six seven eight nine ten"
-    d = spark.createDataFrame([(1, line, "a"), (2, "fine", "b"), (3, None, None)], "doc_id long, text string, source string")
+    d = spark.createDataFrame([(1, line, "a"), (2, "fine", "b"), (3, None, None)], "doc_id long, text string, hit string")
     b = spark.createDataFrame([(1, line)], "item_id long, text string")
     got = decontaminate.clean_documents(d, b)
-    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]
+    assert got.columns == d.columns and sorted((r.doc_id, r.hit or "") for r in got.collect()) == [(2, "b"), (3, "")]
