@@ -58,8 +58,9 @@ class Vocabulary:
 def parts_pattern(pieces: list[str]) -> re.Pattern[str]:
     """A pattern whose matches cut a text only where no piece reaches across.
 
-    Characters next to each other in some piece are joined into classes; between characters of two classes a text may be
-    cut, and so it may before a run of spaces if no piece has a space after another character."""
+    Characters next to each other in some piece are joined into classes, a character that is only next to itself into one of
+    its own; between characters of two classes a text may be cut, and so it may before a run of spaces if no piece has a space
+    after another character."""
     above: dict[str, str] = {}
 
     def top(c: str) -> str:
@@ -77,8 +78,8 @@ def parts_pattern(pieces: list[str]) -> re.Pattern[str]:
     classes: dict[str, list[str]] = {}
     for c in list(above):
         classes.setdefault(top(c), []).append(c)
-    several = sorted((sorted(m) for m in classes.values() if len(m) > 1), key=lambda m: (-len(m), m))
-    return re.compile(f" *(?:{'|'.join([*('[' + ''.join(map(re.escape, m)) + ']+' for m in several), '[^ ]'])})| +", re.S)
+    joined = sorted((sorted(m) for m in classes.values()), key=lambda m: (-len(m), m))
+    return re.compile(f" *(?:{'|'.join([*('[' + ''.join(map(re.escape, m)) + ']+' for m in joined), '[^ ]'])})| +", re.S)
 
 
 class Segmenter:

@@ -66,6 +66,19 @@ def test_pieces_that_reach_across_spaces():
     assert sv.np.frombuffer(own.encode("a b"), sv.np.int32).tolist() == [2, 0]
 
 
+def test_runs_of_repeated_characters(vocabulary):
+    """A character that stands next to itself in a piece, and in no other company, is not cut from itself."""
+    own = sv.Segmenter(vocabulary)
+    runs = {p.strip() for p, _ in vocabulary.pieces if len(p.strip()) > 1 and len(set(p.strip())) == 1}
+    assert {"──", "══"} <= runs
+    for run in sorted(runs):
+        for text in (run, "x" + run + run[0] + " " + run + "."):
+            ids = sv.np.frombuffer(own.encode(text), sv.np.int32)
+            best, _, lowest = plain(" " + text, vocabulary)
+            assert own.decode(ids) == text
+            assert score_of(ids.tolist(), " " + text, vocabulary, lowest) == best
+
+
 def test_table(spark, vocabulary):
     texts = [None, "", " ", "  x ", "\n", "▁▁ a▁", "word " * 30000, "dup", "dup", "\x00"]
     df = spark.createDataFrame([(i, t, [1], "c") for i, t in enumerate(texts)] + [(None, "n", None, None)], "doc_id long, text string, piece_ids array<int>, decoded string")
