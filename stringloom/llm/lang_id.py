@@ -9,7 +9,10 @@ The trees of all languages are laid out together: for each n-gram seen in any la
 column a language, with all escapes already added.  Scoring is a table lookup for each byte; only n-grams seen in no language
 go down to shorter contexts.
 
-Bound of the sample: `ROWS_PER_LANG` rows for each language, of texts up to `ROW_BYTES` bytes, chosen by the hash of the text.
+Bound of the sample: `ROWS_PER_LANG` rows for each language.  First come different texts up to `ROW_BYTES` bytes, by the hash of
+the text; copies count once.  A language with fewer of them is filled up with pieces of its longer texts, each of
+`ROW_BYTES // 4` characters: the first pieces by the hash of the text, then second pieces, and so on, from each text at most
+its even share of the missing rows.
 
 Defined results: null text and texts without a letter are `und` with score 0, as is everything if no row can be learned from;
 rows with a null id or null language are not learned from; equal code lengths go to the first language by name; repeated
@@ -158,16 +161,37 @@ class Trees:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: More than the wanted rows are let through by hash, so that chance does not leave the bound unfilled.
+SPARE = 64
+
+
 def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """`lang, text` of at most `rows_per_lang` different texts a language, by the hash of the text.
-
-    The counts say which share of the hash range is needed, so only a few times the bound reaches the final ranking."""
-    usable = docs.where(
-        F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & (F.octet_length("text") <= row_bytes)
-    ).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("hash"))
-    share = usable.groupBy("lang").agg((F.lit(2.0 * rows_per_lang * (1 << 40)) / F.count(F.lit(1))).alias("below"))
-    few = usable.join(F.broadcast(share), "lang").where(F.col("hash") < F.col("below")).groupBy("lang", "hash", "text").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    """`lang, text` of at most `rows_per_lang` rows a language: different short texts by their hash, then pieces of longer ones.
+
+    The counts of different texts say which share of the hash range is needed, so only a few times the bound reaches the final
+    ranking."""
+    held_in = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    usable = docs.where(F.col("lang").isNotNull() & held_in & F.col("text").isNotNull()).select(
+        "lang", "text", (F.octet_length("text") > row_bytes).alias("long"), F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("hash")
+    )
+    texts = usable.groupBy("lang", "hash", "long").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long"))
+    missing = F.greatest(F.lit(rows_per_lang) - F.col("n_short"), F.lit(0))
+    below = lambda wanted, n: (2.0 * wanted + SPARE) * float(1 << 40) / F.greatest(F.col(n), F.lit(1))
+    counts = counts.select(
+        "lang",
+        below(F.lit(rows_per_lang), "n_short").alias("below_short"),
+        F.when(missing > 0, below(missing, "n_long")).otherwise(0.0).alias("below_long"),
+        F.ceil(missing / F.greatest(F.col("n_long"), F.lit(1))).cast("int").alias("most"),
+    )
+    size = max(1, row_bytes // 4)
+    few = usable.join(F.broadcast(counts), "lang").where(F.col("hash") < F.when(F.col("long"), F.col("below_long")).otherwise(F.col("below_short")))
+    few = few.withColumn("text", F.when(F.col("long"), F.substring("text", F.lit(1), F.col("most") * size)).otherwise(F.col("text")))
+    few = few.groupBy("lang", "long", "hash", "text").agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(F.col("long"), F.floor((F.length("text") - 1) / size)).otherwise(F.lit(0)).cast("int")
+    few = few.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    few = few.withColumn("text", F.when(F.col("long"), F.substring("text", F.col("piece") * size + 1, F.lit(size))).otherwise(F.col("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "piece", "hash", "text"))
     return few.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang).select("lang", "text")
 
 

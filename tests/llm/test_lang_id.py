@@ -74,6 +74,33 @@ def test_edges(spark):
     assert {r.lang_pred for r in lang_id.op1(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_sample_counts_copies_once(spark):
+    texts = spark.range(200).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    copies = spark.range(1000, 61000).select("id", F.lit("text 7").alias("text"))
+    docs = texts.union(copies).select((F.col("id") * 4).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    free = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    got = [r.text for r in lang_id.training_sample(docs).collect()]
+    assert sorted(got) == sorted(r.text for r in free.select("text").distinct().collect()) and len(got) > 100
+    assert len(set(r.text for r in lang_id.training_sample(docs, 30).collect())) == 30
+
+
+def test_sample_is_filled_from_longer_texts(spark):
+    word = lambda i: f"w{i} "
+    rows = [(i, word(i), "a") for i in range(40)] + [(100 + i, word(i) * 40, "a") for i in range(40)]
+    rows += [(200 + i, "é" * 30 + word(i) * 40, "b") for i in range(3) for _ in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    free = {r.doc_id: r for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).collect()}
+    short = {r.text for r in free.values() if len(r.text.encode()) <= 64}
+    got = lang_id.training_sample(docs, 50, 64).collect()
+    own = [r.text for r in got if r.lang == "a"]
+    assert len(own) == 50 and short <= set(own)
+    assert all(len(r.text.encode()) <= 64 and any(r.text in x.text for x in free.values()) for r in got)
+    pieces = [r.text for r in got if r.lang == "b"]
+    long = {r.text for r in free.values() if r.lang == "b"}
+    assert long and {t[:16] for t in long} == {p for p in pieces if p.startswith("é" * 16)}
+    assert len(pieces) > len(long)
+
+
 def test_predictions_do_not_depend_on_batches():
     trees = lang_id.Trees({"a": [b"aaab" * 50], "b": [b"bbba" * 50]})
     texts = ["ab" * 9, None, "b" * 600000, "aaab"]
