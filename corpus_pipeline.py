@@ -14,7 +14,7 @@ from stringloom.llm.shared import table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go; all others stay as they are."""
+    """Documents without a letter, or explained by no language that could be learned, go; all others stay as they are."""
     return lang_id.known_language(docs)
 
 

@@ -17,6 +17,10 @@ its even share of the missing rows.
 Defined results: null text and texts without a letter are `und` with score 0, as is everything if no row can be learned from;
 rows with a null id or null language are not learned from; equal code lengths go to the first language by name; repeated
 rows repeat their result; further columns are ignored by `op1` and kept by `known_language`.
+
+`known_language` rejects a text without a letter, and one that no language explains: its least code length is more than
+`EXCESS` bits above the 8 bits a byte of the uniform code, so bytes at random are the better model by a factor of over
+2**EXCESS.  If no row can be learned from there is nothing to compare with, and every text with a letter stays.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ ORDER = 4
 ROWS_PER_LANG = 400
 ROW_BYTES = 16 << 10
 UND = "und"
+#: Bits by which the uniform code must beat the best language before a text is rejected; short texts rarely reach it.
+EXCESS = 64.0
 PAD = 0x0A
 HASHES = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -208,9 +214,15 @@ LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
 
 
 def predicted(texts: pa.Array, trees: Trees) -> tuple[list[str], list[float]]:
+    return _rated(texts, trees)[:2]
+
+
+def _rated(texts: pa.Array, trees: Trees) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text, and whether `known_language` keeps it."""
     raw, off = text_buffer(texts)
     labels: list[str] = []
     scores: list[float] = []
+    known: list[bool] = []
     for a, z in groups_of_bytes(off, 1 << 18):
         data, local = raw[off[a] : off[z]], off[a : z + 1] - off[a]
         letters = np.concatenate([[0], np.cumsum(LETTERS[data])])
@@ -218,15 +230,17 @@ def predicted(texts: pa.Array, trees: Trees) -> tuple[list[str], list[float]]:
         # texts longer than a group are added up piece by piece, each with the bytes before it as context
         bits = trees.code_lengths(data, local) if len(data) <= 1 << 22 else _long(trees, data)
         for d in range(z - a):
-            lettered = plain[d] or any(map(str.isalpha, data[local[d] : local[d + 1]].tobytes().decode("utf-8", "replace")))
+            lettered = bool(plain[d]) or any(map(str.isalpha, data[local[d] : local[d + 1]].tobytes().decode("utf-8", "replace")))
             if not lettered or not trees.languages:
                 labels.append(UND)
                 scores.append(0.0)
+                known.append(lettered)
                 continue
             best = int(np.argmin(bits[d]))
             labels.append(trees.languages[best])
             scores.append(float(1 / np.exp2(np.maximum(bits[d][best] - bits[d], -1000)).sum()))
-    return labels, scores
+            known.append(bool(bits[d][best] <= 8 * (local[d + 1] - local[d]) + EXCESS))
+    return labels, scores, known
 
 
 def _long(trees: Trees, data: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
@@ -263,6 +277,13 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with a language, that is with a letter in their text; columns as they were."""
-    label = max(docs.columns, key=len) + "_lang"
-    return identified(docs, trained(docs), label, label + "_score").where(F.col(label) != UND).select(*docs.columns)
+    """The rows of `docs` whose text has a letter and is explained by a language; columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs))
+    rows = bounded_batches(docs)
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_rated(batch.column(at), shared.value)[2], pa.bool_()))
+
+    return rows.mapInArrow(tidy(run), rows.schema)

@@ -74,6 +74,17 @@ def test_edges(spark):
     assert {r.lang_pred for r in lang_id.op1(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_stage_rejects_what_no_language_explains(spark):
+    rng = random.Random(2)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(400))
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(9)] + [(50, noise, None), (51, "the dog", None), (52, "12 .", None), (53, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in lang_id.known_language(df).collect()} == {*range(9), 51, 53}
+    # nothing to learn from: every text with a letter stays
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in lang_id.known_language(bare).collect()} == {*range(9), 50, 51, 53}
+
+
 def test_sample_counts_copies_once(spark):
     texts = spark.range(200).select("id", F.concat(F.lit("text "), "id").alias("text"))
     copies = spark.range(1000, 61000).select("id", F.lit("text 7").alias("text"))
