@@ -13,8 +13,8 @@ with, so no link is lost that would join two groups, and only links that join so
 similarity of the five-word shingle sets of at least 0.8, computed on the texts.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words has one shingle; null and wordless texts link with
-nothing; equal texts are linked; rows that share an id are told apart by their text; further columns are kept by
-`one_of_each`.
+nothing; equal texts are linked; rows that share an id are told apart by their text, so rows equal in id (null included) and text are one
+document: if it is its group's head, all of them are kept; further columns are kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -234,7 +234,7 @@ def _links(inside: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """`doc_id, text_hash, component_id, kept, n_shingles` for each row: `component_id` is the least id of the row's group, and
-    one row of each group is kept."""
+    one document of each group is kept, with all rows that repeat its id and text."""
     rows = written(features(docs), "near-features")
     lead = F.struct("doc_id", "text_hash")
     classes = rows.where("n_shingles > 0").groupBy("set_1", "set_2").agg(F.min(lead).alias("lead"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -258,7 +258,8 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one row for each group of near duplicates, the one of least id; columns as they were."""
+    """`docs` with one document for each group of near duplicates, the one of least id, in all rows that repeat its id and text;
+    columns as they were."""
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     id_, hash_ = (max(docs.columns, key=len) + x for x in ("_id", "_hash"))
     gone = gone.select(F.col("_id").alias(id_), F.col("_hash").alias(hash_))
