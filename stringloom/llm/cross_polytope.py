@@ -30,7 +30,7 @@ from stringloom.llm.shared import shuffle_partitions, written
 from stringloom.llm.textkit import U64, mixed
 
 COSINE = 0.95
-TABLES = 12
+TABLES = 24
 CORNERS = 4
 ROTATIONS = 3
 SEED = 20_240_229

@@ -107,3 +107,14 @@ def test_hadamard_rotation_keeps_angles():
     x = np.random.default_rng(0).normal(size=(6, 50))
     y = hasher.rotated(x, 0)
     assert y @ y.T / 64**3 == pytest.approx(x @ x.T)
+
+
+@pytest.mark.parametrize("length", [64, 256])
+def test_pairs_at_the_threshold_meet(length):
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    x, z = unit(rng.normal(size=(1500, length))), rng.normal(size=(1500, length))
+    z = unit(z - (z * x).sum(axis=1)[:, None] * x)
+    one, two = (cp.hasher(length).keys(v) for v in (x, cp.COSINE * x + math.sqrt(1 - cp.COSINE**2) * z))
+    meet = (one[:, :, :1] == two).any(axis=2) | (two[:, :, :1] == one).any(axis=2)
+    assert meet.any(axis=1).mean() >= 0.998
