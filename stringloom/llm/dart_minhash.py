@@ -6,11 +6,14 @@ signature, and counts if its weight lies in the element's region.  Each coordina
 signatures agree in a coordinate with the probability of the weighted Jaccard similarity.  Only darts up to the rank where
 all coordinates are hit are thrown, so the work is a few darts for each coordinate, not coordinates times elements.
 
-Joining.  Documents with equal shingle sets are one class.  Classes that share a band of the signature meet in a bucket; a
-bucket offers links from its classes to its least one, so candidates grow with rows, not with pairs.  Classes joined by such
-candidates form units of bounded size, and inside a unit each class is compared exactly with those that it is not yet joined
-with, so no link is lost that would join two groups, and only links that join something leave the task.  A link is a Jaccard
-similarity of the five-word shingle sets of at least 0.8, computed on the texts.
+Joining.  Documents with equal shingle sets are one class.  Classes that share a band of the signature meet in a bucket, and
+classes that buckets join, directly or over others, are a family.  Two classes of a family are compared exactly, on the
+shingles of their texts, if they share a band and are not yet joined; a link is a Jaccard similarity of the five-word shingle
+sets of at least 0.8.  A family within bounds is compared in one task, a larger one in rounds of leaders over parts of it; both
+follow the one rule, and only links that join something leave a task.
+
+Bound of the search: two classes of similarity 0.8 share no band in 3 of a million cases, fewer above; such a pair is only
+joined over others.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words has one shingle; null and wordless texts link with
 nothing; equal texts are linked; rows that share an id are told apart by their text, so rows equal in id (null included) and text are one
@@ -20,6 +23,7 @@ document: if it is its group's head, all of them are kept; further columns are k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Agreeing coordinates below which a pair is not compared further: five standard deviations under the mean at 0.8.
-AGREE = int(COORDINATES * SIMILARITY - 5 * (COORDINATES * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Classes and shingles of a family that is compared as one unit, classes of a part of a bucket, shingles of a shard of units.
-FAMILY, FAMILY_SHINGLES, PART, SHARD_SHINGLES = 4096, 4_000_000, 2048, 500_000
+#: Classes and shingles of a family that is compared in one task, shingles of a task's families or of a part of a larger family,
+#: and shingles of the leaders of a round.
+FAMILY, FAMILY_SHINGLES, SHARD_SHINGLES, LEAD_SHINGLES = 1024, 1_000_000, 500_000, 100_000
 DART, CELL, SPOT, RANK = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93)
 
 
@@ -144,92 +147,139 @@ def features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, set_1 long, set_2 long, n_shingles long, signature binary")
 
 
+def band_keys(signatures: list[bytes]) -> np.ndarray:
+    """(signatures, bands): the bucket of each band."""
+    s = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, BANDS, ROWS).astype(U64)
+    h = np.zeros(s.shape[:2], U64) + np.arange(BANDS, dtype=U64)
+    for i in range(ROWS):
+        h = mixed(h * DART + s[:, :, i])
+    return h
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """`bucket, node` for every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U64)
-            h = np.zeros(s.shape[:2], U64) + np.arange(BANDS, dtype=U64)
-            for i in range(ROWS):
-                h = mixed(h * DART + s[:, :, i])
+            h = band_keys(batch.column(1).to_pylist())
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "signature").mapInArrow(tidy(run), "bucket long, node long")
 
 
-def _units(inside: DataFrame, classes: DataFrame) -> DataFrame:
-    """`unit, node, part, parted`: which classes are compared with each other.
+def _families(bands: DataFrame) -> DataFrame:
+    """`node, family` of the classes that buckets join, directly or over others.
 
-    Classes that buckets join, directly or over others, are a family.  A family within the bounds is one unit, so each of its
-    texts moves once.  In larger ones each bucket is a unit, and a bucket of more than `PART` classes is dealt out as pairs of
-    parts, in which only classes of different parts are compared."""
-    families = components(inside.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    sized = families.join(classes.select("node", "n_shingles"), "node")
-    sizes = sized.groupBy("component").agg((F.count(F.lit(1)) > FAMILY).alias("many"), (F.sum("n_shingles") > FAMILY_SHINGLES).alias("long"))
-    own = families.join(sizes.select("component", (F.col("many") | F.col("long")).alias("large")), "component")
-    whole = own.where("NOT large").select(F.col("component").alias("unit"), "node", F.lit(0).alias("part"), F.lit(False).alias("parted"))
-    members = inside.join(own.where("large").select("node"), "node", "left_semi")
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = members.join(counts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    unit = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-    return whole.unionByName(dealt.select(unit.alias("unit"), "node", "part", (F.col("part") != F.col("other")).alias("parted")))
+    The least class of a bucket is its hub.  A class joins all its hubs with each other, so components are sought among hubs
+    only: the classes of a small family all have the same one and give no link at all."""
+    shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where(F.col("hub") != F.col("most")).select("bucket", "hub")
+    tops = written(bands.join(shared, "bucket").groupBy("node").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs")), "near-hubs")
+    several = tops.where(F.size("hubs") > 1).select(F.col("low").alias("a"), F.explode("hubs").alias("b"))
+    joined = components(several).withColumnRenamed("node", "low")
+    return tops.select("node", "low").join(joined, "low", "left").select("node", F.coalesce("component", "low").alias("family"))
 
 
-def _links_of_unit(node: np.ndarray, part: np.ndarray, parted: bool, signature: np.ndarray, sets: list[np.ndarray], size: int) -> list[tuple[int, int]]:
-    """Links that join the classes of a unit: each class is compared exactly with the later ones that are not yet joined with it
-    and that size and signature allow; `sets` are numbers below `size`."""
+def _links_of_unit(label: np.ndarray, n_first: int, bands: np.ndarray, sets: list[np.ndarray], size: int) -> list[tuple[int, int]]:
+    """Links between labels that join the classes of a unit: each of the first `n_first` classes is compared exactly with the
+    later ones that share a band with it and are not yet joined with it; `sets` are numbers below `size`."""
     n = np.array([len(x) for x in sets])
-    label = np.arange(len(node))
+    now = label.copy()
     marked = np.zeros(size, bool)
-    out: list[tuple[int, int]] = []
-    for i in range(len(node) - 1):
+    for i in range(n_first):
         later = slice(i + 1, None)
-        fit = (label[later] != label[i]) & (np.minimum(n[later], n[i]) >= SIMILARITY * np.maximum(n[later], n[i]))
-        if parted:
-            fit &= part[later] != part[i]
-        j = np.flatnonzero(fit) + i + 1
-        if len(j):
-            j = j[(signature[j] == signature[i]).sum(axis=1) >= AGREE]
+        j = np.flatnonzero((now[later] != now[i]) & (np.minimum(n[later], n[i]) >= SIMILARITY * np.maximum(n[later], n[i]))) + i + 1
+        j = j[(bands[j] == bands[i]).any(axis=1)]
         if not len(j):
             continue
         marked[sets[i]] = True
         shared = np.array([int(marked[sets[x]].sum()) for x in j.tolist()])
         marked[sets[i]] = False
         for x in j[shared >= SIMILARITY * (n[i] + n[j] - shared) - 1e-9].tolist():
-            if label[x] != label[i]:
-                out.append((int(node[i]), int(node[x])))
-                label[label == label[x]] = label[i]
-    return out
+            if now[x] != now[i]:
+                now[now == now[x]] = now[i]
+    # each label with the least one that it was joined with
+    _, own = np.unique(now, return_inverse=True)
+    least = np.full(len(now), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, label)
+    return sorted({(a, b) for a, b in zip(least[own].tolist(), label.tolist(), strict=True) if a != b})
 
 
-def _links_of_shard(shard: pa.Table) -> pa.Table:
-    shard = shard.sort_by([("unit", "ascending"), ("node", "ascending")])
-    unit, node, part, parted = (shard.column(c).to_numpy() for c in ("unit", "node", "part", "parted"))
-    signature = np.frombuffer(b"".join(shard.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    flat, off = shingles(shard.column("text"))
-    cuts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])).tolist()
-    links: list[tuple[int, int]] = []
-    for a, z in zip(cuts, [*cuts[1:], len(unit)], strict=True):
-        names, number = np.unique(flat[off[a] : off[z]], return_inverse=True)
-        sets = np.split(number, (off[a + 1 : z] - off[a]))
-        links += _links_of_unit(node[a:z], part[a:z], bool(parted[a:z].any()), signature[a:z], sets, len(names))
+def _compared(group: pa.Table, n_first: int | None = None) -> list[tuple[int, int]]:
+    """Links of one unit; without `n_first` each class is compared with all later ones."""
+    flat, off = shingles(group.column("text"))
+    names, number = np.unique(flat, return_inverse=True)
+    label = group.column("label").to_numpy()
+    return _links_of_unit(label, len(label) - 1 if n_first is None else n_first, band_keys(group.column("signature").to_pylist()), np.split(number, off[1:-1]), len(names))
+
+
+def _link_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _links(inside: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that join the classes as all links would: Jaccard similarity of the texts' shingle sets of at least 0.8."""
-    units = written(_units(inside, classes), "near-units")
-    nodes = units.select("node").distinct()
-    leads = classes.join(nodes, "node", "left_semi").select("node", "signature", F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash"))
+def _links_of_shard(shard: pa.Table) -> pa.Table:
+    """Links inside the families of a shard, each compared as a whole."""
+    shard = shard.sort_by([("family", "ascending"), ("label", "ascending")])
+    family = shard.column("family").to_numpy()
+    cuts = np.flatnonzero(np.append(True, family[1:] != family[:-1])).tolist()
+    return _link_table([link for a, z in zip(cuts, [*cuts[1:], len(family)], strict=True) for link in _compared(shard.slice(a, z - a))])
+
+
+def _links_of_part(part: pa.Table) -> pa.Table:
+    """Links between the leaders of a large family and the classes of one part of it."""
+    part = part.sort_by([("leads", "descending"), ("node", "ascending")])
+    return _link_table(_compared(part, int(np.sum(part.column("leads").to_numpy(zero_copy_only=False)))))
+
+
+def _links_by_leaders(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes of families too large for a task; `members` has `family, node, n_shingles, text,
+    signature`.
+
+    A round deals a family out in parts of bounded size and compares some classes, the leaders, with all others, in every part
+    at once: texts move once a round, not once for each pair of parts.  What is linked gets one label, and leaders need no
+    further comparison, so a round leaves only classes beside the largest label.  Leaders are taken from these by hash, as
+    many as `LEAD_SHINGLES` allows; the rounds end when each family has one label left."""
+    spark, links = members.sparkSession, []
+    labels = members.select("family", "node", "n_shingles", F.col("node").alias("label"))
+    while True:
+        loads = labels.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load"))
+        main = loads.groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("load").alias("load"))
+        draw = F.pmod(F.xxhash64("node", F.lit(len(links))), F.lit(1 << 40))
+        parts = F.ceil(F.col("load") / SHARD_SHINGLES).cast("int")
+        open_ = labels.join(main.where("kinds > 1"), "family").withColumns({"draw": draw, "parts": parts, "beside": F.col("label") != F.col("main")})
+        open_ = written(open_.select("family", "node", "n_shingles", "label", "draw", "parts", "beside"), "near-open")
+        if not open_.limit(1).count():
+            break
+        share = F.lit(float(LEAD_SHINGLES) * (1 << 40)) / F.sum("n_shingles")
+        bounds = open_.where("beside").groupBy("family").agg(F.greatest(share, F.min("draw")).alias("bound"))
+        dealt = open_.join(bounds, "family").withColumn("leads", F.col("beside") & (F.col("draw") <= F.col("bound")))
+        own = dealt.select("family", "node", "label", F.lit(False).alias("leads"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part"))
+        lead = dealt.where("leads").select("family", "node", "label", "leads", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        full = own.unionByName(lead).join(members.select("node", "text", "signature"), "node")
+        links.append(written(full.groupBy("family", "part").applyInArrow(_links_of_part, "a long, b long"), "near-links"))
+        joined = components(links[-1]).select(F.col("node").alias("label"), "component")
+        left = dealt.where("NOT leads").join(joined, "label", "left")
+        labels = left.select("family", "node", "n_shingles", F.coalesce("component", "label").alias("label"))
+    return reduce(DataFrame.unionByName, links, spark.createDataFrame([], "a long, b long"))
+
+
+def _links(bands: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join the classes as all links would: Jaccard similarity of the texts' shingle sets of at least 0.8 of
+    two classes that share a band.  A family within the bounds is compared in one task, so each of its texts moves once."""
+    sized = _families(bands).join(classes.select("node", "n_shingles", "lead"), "node")
+    sizes = sized.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load"))
+    large = (F.col("n") > FAMILY) | (F.col("load") > FAMILY_SHINGLES)
+    units = written(sized.join(sizes, "family").select("family", "node", "n_shingles", large.alias("large"), F.col("lead.doc_id").alias("doc_id"), F.col("lead.text_hash").alias("text_hash")), "near-units")
     keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
-    texts = keyed.join(leads, keyed.id.eqNullSafe(leads.doc_id) & (keyed.hash == leads.text_hash)).groupBy("node").agg(F.first("text").alias("text"), F.first("signature").alias("signature"))
-    total = units.join(classes.select("node", "n_shingles"), "node").agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(shuffle_partitions(docs.sparkSession), total // SHARD_SHINGLES)
-    full = units.join(texts, "node")
-    return written(full.groupBy(F.pmod(F.xxhash64("unit"), F.lit(shards))).applyInArrow(_links_of_shard, "a long, b long"), "near-links")
+    # one plan at every size: a broadcast of units that happen to be few would hide what the texts cost
+    found = keyed.join(units.hint("merge"), keyed.id.eqNullSafe(units.doc_id) & (keyed.hash == units.text_hash))
+    texts = found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("family", "n_shingles", "large", "text")))
+    full = written(texts.join(classes.select("node", "signature"), "node"), "near-texts")
+    total, n_large = full.agg(F.sum("n_shingles"), F.count_if("large")).first()
+    shards = max(shuffle_partitions(docs.sparkSession), (total or 0) // SHARD_SHINGLES)
+    whole = full.where("NOT large").select("family", F.col("node").alias("label"), "text", "signature")
+    links = written(whole.groupBy(F.pmod(F.xxhash64("family"), F.lit(shards))).applyInArrow(_links_of_shard, "a long, b long"), "near-links")
+    return links.unionByName(_links_by_leaders(full.where("large"))) if n_large else links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,11 +288,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(features(docs), "near-features")
     lead = F.struct("doc_id", "text_hash")
     classes = rows.where("n_shingles > 0").groupBy("set_1", "set_2").agg(F.min(lead).alias("lead"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = written(classes.withColumn("node", F.col("set_1").bitwiseXOR(F.shiftleft("set_2", 1))), "near-classes")
-    bands = written(_bands(classes), "near-bands")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where(F.col("hub") != F.col("most")).select("bucket", "hub")
-    inside = written(bands.join(shared, "bucket"), "near-buckets")
-    labels = components(_links(inside, classes, docs))
+    # numbered, not hashed: no two classes share a number; the numbers hold once they are written
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    labels = components(_links(written(_bands(classes), "near-bands"), classes, docs))
     # the least id of each component, by its nodes' least ids
     groups = classes.select("node", "set_1", "set_2", "lead").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = groups.groupBy("component").agg(F.min("lead").alias("head"))

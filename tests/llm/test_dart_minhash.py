@@ -94,3 +94,26 @@ def test_signatures_do_not_depend_on_company():
     whole = dm.signatures(elements, np.array([0, 1, 1, 50, 500]))
     assert (dm.signatures(elements[1:50], np.array([0, 49]))[0] == whole[2]).all()
     assert (whole[0] != 0).all() and (whole[1] == 0).all()
+
+
+@pytest.mark.parametrize("leaders", (1, 5_000))
+def test_large_families_are_compared_by_leaders(spark, monkeypatch, leaders):
+    monkeypatch.setattr(dm, "FAMILY", 3)
+    monkeypatch.setattr(dm, "SHARD_SHINGLES", 400)
+    monkeypatch.setattr(dm, "LEAD_SHINGLES", leaders)
+    rng = random.Random(11)
+    docs = corpus(4)
+    base = [f"v{rng.randrange(300)}" for _ in range(150)]
+    for i in range(12):
+        # a chain: neighbours are near, the ends are not
+        docs.append((1000 + i, " ".join([*(f"n{x}" for x in range(4 * i)), *base[4 * i :]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in dm.op3(df).collect()}
+    assert [got[d] for d, _ in docs] == groups(docs)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 300), (401, 400)]
+    got = {r.node: r.component for r in dm.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(61)}) == len({got[100 + i] for i in range(40)}) == 1
+    assert set(got) == {*range(61), *range(100, 140), 400, 401} and len({got[0], got[100], got[400]}) == 3
