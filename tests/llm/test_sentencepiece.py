@@ -88,3 +88,22 @@ def test_table(spark, vocabulary):
     rows = sv.op7(df).collect()
     assert len(rows) == 11 and all(r.round_trip for r in rows)
     assert sv.op7(df.limit(0)).count() == 0
+
+
+def test_merge_models_give_the_ids_of_their_own_encoder(spark):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=sv.MODEL)
+    vocabulary = sv.Vocabulary.of_model()
+    assert vocabulary.merges
+    own = sv.Segmenter(vocabulary, cache=50, pairs=50)
+    rng = random.Random(3)
+    letters = "abcdefghij ABCDE  0123\n\t.,-_─═éüñ中文字😀"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(200)]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    texts += [r.text for r in rows.collect()]
+    for text in texts:
+        if sv.MARK not in text:
+            assert sv.np.frombuffer(own.encode(text), sv.np.int32).tolist() == theirs.encode(text)
+    both = sv.encoded(rows, vocabulary, back_col="back").collect()
+    assert all(r.back == r.text and (sv.MARK in r.text or r.piece_ids == theirs.encode(r.text)) for r in both)
