@@ -430,8 +430,31 @@ t AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS prefix, 0::BIGINT AS cnt, 0::BIGINT
   UNION ALL SELECT r.i, r.prefix, r.cnt, list_position(loads, list_min(loads))::BIGINT - 1,
     list_transform(range(0, {BUCKETS}), lambda x: loads[x + 1] + CASE WHEN x = list_position(loads, list_min(loads)) - 1 THEN r.cnt ELSE 0 END) FROM t JOIN r ON r.i = t.i + 1),
 """
+
+
+def _greedy(name: str, start: str, place: str, source: str = "") -> str:
+    """A greedy assignment as a recursion over the roots, largest first: `place` is the 1-based bin of a root of size r.cnt for
+    the list `loads`; the place after the last one is a new bin."""
+    return f"""{name} AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS prefix, 0::BIGINT AS cnt, 0::BIGINT AS bucket, {start} AS loads{source}
+  UNION ALL SELECT i, prefix, cnt, place - 1, CASE WHEN place > len(loads) THEN list_append(loads, cnt) ELSE list_transform(loads, lambda x, k: CASE WHEN k = place THEN x + cnt ELSE x END) END
+  FROM (SELECT r.i, r.prefix, r.cnt, loads, coalesce({place}, len(loads) + 1)::BIGINT AS place FROM {name} JOIN r ON r.i = {name}.i + 1)),
+"""
+
+
+ROOTS = (PART + ALL_PREFIXES + COVER).replace("WITH c AS", "WITH RECURSIVE c AS", 1) + "r AS (SELECT prefix, cnt, row_number() OVER (ORDER BY cnt DESC, prefix) AS i FROM cover),\n"
+LEAST = "list_position(loads, list_min(loads))"
+FULLEST = f"list_max(list_filter(loads, lambda x: x + r.cnt <= {BUCKET_BUDGET}))"
+GREEDY = {
+    "ff": _greedy("t", "[]::BIGINT[]", f"list_position(list_transform(loads, lambda x: x + least(r.cnt, {BUCKET_BUDGET}) <= {BUCKET_BUDGET}), true)"),
+    "bf": _greedy("t", "[]::BIGINT[]", f"list_position(loads, {FULLEST})"),
+    "wf": _greedy("t", "[0]::BIGINT[]", f"CASE WHEN list_min(loads) + r.cnt <= {BUCKET_BUDGET} OR list_min(loads) = 0 THEN {LEAST} END"),
+    "bfhg": _greedy("f", "[]::BIGINT[]", f"list_position(loads, {FULLEST})")
+    + _greedy("t", f"list_transform(range(0, (SELECT (max(bucket) // {BUCKETS} + 1) * {BUCKETS} FROM f)), lambda x: 0::BIGINT)", LEAST),
+}
 for _method in grouping.METHODS:
     QUERIES[f"grouping_{_method}"] = _grouping(_method)
+for _method, _sql in GREEDY.items():
+    ORACLES[f"grouping_{_method}"] = end(ROOTS + _sql + "SELECT prefix, cnt, bucket FROM t WHERE i > 0")
 ORACLES["grouping_hg"] = end((PART + ALL_PREFIXES + COVER + BALANCED).replace("WITH c AS", "WITH RECURSIVE c AS", 1) + "SELECT prefix, cnt, bucket FROM t WHERE i > 0")
 
 
@@ -440,6 +463,15 @@ def bucket_iterations(spark, sf_dir):
     return grouping.iterations(_assigned(spark, sf_dir, "hg"), 3)
 
 
-@query()
+@query(
+    end(
+        ROOTS
+        + GREEDY["bfhg"]
+        + f"""u AS (SELECT bucket, sum(cnt)::BIGINT AS load FROM t WHERE i > 0 GROUP BY 1),
+v AS (SELECT b // {BUCKETS} AS iteration, coalesce(load, 0)::BIGINT AS load FROM (SELECT unnest(range(0, max(bucket) + 1)) AS b FROM u) LEFT JOIN u ON u.bucket = b),
+m AS (SELECT iteration, (sum(load) // {BUCKETS})::BIGINT AS mean_load FROM v GROUP BY 1),
+SELECT iteration, mean_load, sqrt(sum(((load - mean_load) * (load - mean_load))::DOUBLE) / {BUCKETS}) AS sigma FROM v JOIN m USING (iteration) GROUP BY 1, 2"""
+    )
+)
 def grouping_review(spark, sf_dir):
     return grouping.review(_assigned(spark, sf_dir, "bfhg"), BUCKETS)
