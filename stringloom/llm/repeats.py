@@ -37,6 +37,19 @@ NULL_ID = -(1 << 63)
 ALL = U64((1 << 64) - 1)
 
 
+class Places:
+    """The numbers `ahead`, `ahead + 1`, ... without an array of them."""
+
+    def __init__(self, n: int, ahead: int):
+        self.n, self.ahead = n, ahead
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return at + self.ahead
+
+
 @dataclass
 class Symbols:
     """A block's symbols; the content of symbols i..j-1 is `buffer[first[i]:last[j - 1]]`."""
@@ -44,8 +57,8 @@ class Symbols:
     hashed: Callable[[], np.ndarray]
     offsets: np.ndarray
     buffer: bytes
-    first: np.ndarray
-    last: np.ndarray
+    first: np.ndarray | Places
+    last: np.ndarray | Places
 
     @cached_property
     def values(self) -> np.ndarray:
@@ -248,7 +261,7 @@ def covered(block: Block, have: dict[str, bytes], n_buckets: int) -> np.ndarray:
     own = block.judged(have)
     index, firsts, _ = block.contents(own)
     n = len(block.symbols.first)
-    change = np.zeros(n + 1, np.int64)
+    change = np.zeros(n + 1, np.int32)
     if len(firsts):
         reply, at, masks = have["masks"], 0, []
         # replies come by bucket, each in byte planes of its own
@@ -273,5 +286,5 @@ def covered(block: Block, have: dict[str, bytes], n_buckets: int) -> np.ndarray:
             begin = own.start[part][which] + offset
             np.add.at(change, begin, 1)
             np.add.at(change, begin + block.kind.window, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 

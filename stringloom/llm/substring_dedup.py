@@ -29,6 +29,8 @@ from stringloom.llm.textkit import U64, WHITE, span_index, word_hashes, word_spa
 WINDOW = 13
 #: Words of a minimizer group: a window has WINDOW - GRAM + 1 of them.
 GRAM = 4
+#: Words whose bytes are indexed at once.
+SLICE = 1 << 15
 
 
 class SuffixAutomaton:
@@ -93,10 +95,13 @@ class SuffixAutomaton:
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     starts, ends, word_offsets = word_spans(data, offsets, WHITE)
     sizes = ends - starts + 1
-    index, inside = span_index(starts, sizes)
-    last = inside == np.repeat(sizes - 1, sizes)
-    joined = np.where(last, np.uint8(0x20), data[np.minimum(index, max(len(data) - 1, 0))]) if len(index) else np.zeros(0, np.uint8)
     first = np.cumsum(sizes) - sizes
+    # the words and a space after each; in slices, since the index has eight bytes for each one of text
+    joined = np.full(int(sizes.sum()), 0x20, np.uint8)
+    for a in range(0, len(starts), SLICE):
+        here = slice(a, a + SLICE)
+        index, inside = span_index(starts[here], sizes[here] - 1)
+        joined[inside + np.repeat(first[here], sizes[here] - 1)] = data[index]
     return Symbols(lambda: word_hashes(data, starts, ends), word_offsets, joined.tobytes(), first, first + sizes - 1)
 
 
@@ -160,9 +165,9 @@ def kept_texts(block: Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n_gone = before[s.offsets[1:]] - before[s.offsets[:-1]]
     kept = np.flatnonzero(~gone)
     sizes = s.last[kept] - s.first[kept] + 1
-    index, _ = span_index(s.first[kept], sizes)
     # a kept word's bytes and the space after it
-    text = np.frombuffer(s.buffer, np.uint8)[index].tobytes() if len(index) else b""
+    raw = np.frombuffer(s.buffer, np.uint8)
+    text = b"".join(raw[span_index(s.first[kept[a : a + SLICE]], sizes[a : a + SLICE])[0]].tobytes() for a in range(0, len(kept), SLICE))
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(kept, s.offsets)].tolist()
     return n_words, n_gone, [text[a : max(a, z - 1)] for a, z in zip(ends[:-1], ends[1:], strict=True)]
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stringloom.llm.blocks import Blocks
-from stringloom.llm.repeats import Block, Kind, Symbols, covered, covered_symbols
+from stringloom.llm.repeats import Block, Kind, Places, Symbols, covered, covered_symbols
 from stringloom.llm.textkit import U64, gram_hashes, span_index
 
 WINDOW = 100
@@ -34,8 +34,7 @@ TRIGGER_EVERY = 8
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> Symbols:
-    at = np.arange(len(data), dtype=np.int64)
-    return Symbols(lambda: data, offsets, data.tobytes(), at, at + 1)
+    return Symbols(lambda: data, offsets, data.tobytes(), Places(len(data), 0), Places(len(data), 1))
 
 
 def heads(codes: np.ndarray) -> np.ndarray:
@@ -200,6 +199,13 @@ def byte_masks(docs: DataFrame, kind: Kind = KIND) -> tuple[Blocks, dict[str, Da
     return blocks, covered_symbols(blocks, kind)
 
 
+def running(marks: np.ndarray) -> np.ndarray:
+    """Marks before each place, and all of them."""
+    out = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, dtype=np.int32, out=out[1:])
+    return out
+
+
 def op10(docs: DataFrame, kind: Kind = KIND) -> DataFrame:
     blocks, replies = byte_masks(docs.select("doc_id", "text"), kind)
     n_buckets = blocks.n_buckets
@@ -207,12 +213,12 @@ def op10(docs: DataFrame, kind: Kind = KIND) -> DataFrame:
     def finish(rows: pa.RecordBatch, have: dict[str, bytes]) -> pa.RecordBatch:
         block = Block(rows, kind)
         gone, off = covered(block, have, n_buckets), block.text_offsets
-        before = np.concatenate([[0], np.cumsum(gone)])
+        before = running(gone)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         at_start = off[:-1][off[:-1] < off[1:]]
         begins[at_start] = gone[at_start]
-        runs = np.concatenate([[0], np.cumsum(begins)])
+        runs = running(begins)
         kept = block.data[~gone].tobytes()
         ends = (off - before[off]).tolist()
         digests = [hashlib.sha256(kept[a:z]).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]

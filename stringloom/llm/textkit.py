@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers and bases of the hashes, from the digits of the square roots of small primes.
+#: The two multipliers of the SplitMix64 finaliser.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+#: Odd multipliers and bases of the other hashes, from the digits of the square roots of small primes.
 BASE_1, BASE_2 = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B)
 STEP_A = [U64(x) for x in (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED9)]
 STEP_B = [U64(x) for x in (0x629A292A367CD507, 0x9159015A3070DD17, 0x152FECD8F70E5939, 0x67332667FFC00B31, 0x8EB44A8768581511, 0xDB0C2E0D64F98FA7, 0x47B5481DBEFA4FA5)]

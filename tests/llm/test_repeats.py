@@ -117,3 +117,13 @@ def test_corpus_order_is_the_suffix_order(seed):
     order = suffix_array_dedup.corpus_order(np.frombuffer(b"".join(texts), np.uint8), off)
     suffixes = [t[i:] for t in texts for i in range(len(t))]
     assert [suffixes[i] for i in order] == sorted(suffixes)
+
+
+def test_each_bucket_has_a_partition_of_its_own(spark):
+    from stringloom.llm import blocks
+
+    for n in (1, 2, 7, 51, 211):
+        routes = blocks.keys_of_partitions(n)
+        rows = spark.createDataFrame([(int(r), b) for b, r in enumerate(routes)], "route int, bucket int")
+        found = rows.repartition(n, "route").selectExpr("spark_partition_id() AS p", "bucket").collect()
+        assert sorted(r.p for r in found) == list(range(n)) and all(r.p == r.bucket for r in found)
