@@ -1,7 +1,8 @@
 """Chat formatting as relational expressions.
 
-Turn rows are put in order (turn, then role and text for equal turn numbers), neighbouring turns of one role become one
-block, and the pieces of a conversation are concatenated from its sorted, collected turn structs.
+The turns of a conversation are collected as structs and sorted (by turn, then by role and text for equal turn numbers).  In the
+sorted array neighbouring turns of one role are merged into one block, the blocks become strings, and these are concatenated.
+Running lengths are added up in pieces of the array, so the work does not grow with the square of a conversation's turns.
 
 Template.  user: `[INST] a [/INST]`; system: `[SYS] a [/SYS]`; assistant: `<s>a</s>`; any other role:
 `[ROLE]name[/ROLE]a</s>`.  Turns merged into one block are parted by `[NEXT]`.  Inside texts and role names a backslash
@@ -18,7 +19,7 @@ are ignored.  A conversation is one output value, so its turns meet in one task,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The control strings of the template.
@@ -38,27 +39,53 @@ def _by_role(role: Column, user: Column, system: Column, assistant: Column, othe
     return F.when(role == "user", user).when(role == "system", system).when(role == "assistant", assistant).otherwise(other)
 
 
+#: Elements of a piece of an array whose lengths are added up one after another.
+PIECE = 256
+
+
+def _upto(lengths: Column, first: Column) -> Column:
+    """`first` plus the sum of the elements before each one, in one pass that copies what it has found so far."""
+    start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("found"))
+    step = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["found"], F.array(state["at"])).alias("found"))
+    return F.aggregate(lengths, start, step)["found"]
+
+
+def running(lengths: Column) -> Column:
+    """Sum of the elements before each one of an array of longs."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PIECE).cast("int")), lambda i: F.slice(lengths, i * PIECE + 1, F.lit(PIECE)))
+    firsts = _upto(F.transform(pieces, lambda piece: F.aggregate(piece, F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0).cast("long"))
+    return F.when(F.size(lengths) > 0, F.flatten(F.zip_with(pieces, firsts, _upto))).otherwise(F.array().cast("array<bigint>"))
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """`conv_id, formatted, loss_spans` for each conversation of `turns(conv_id, turn, role, text)`."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumns({"at": F.row_number().over(order), "before": F.lag("role").over(order), "after": F.lead("role").over(order)})
-    role = F.col("role")
-    opens = F.col("before").isNull() | (F.col("before") != role)
-    closes = F.col("after").isNull() | (F.col("after") != role)
-    name = F.concat(F.lit("[ROLE]"), escaped(role), F.lit("[/ROLE]"))
-    head = F.when(opens, _by_role(role, F.lit("[INST] "), F.lit("[SYS] "), F.lit("<s>"), name)).otherwise(F.lit("[NEXT]"))
-    tail = F.when(closes, _by_role(role, F.lit(" [/INST]"), F.lit(" [/SYS]"), F.lit("</s>"), F.lit("</s>"))).otherwise(F.lit(""))
-    pieces = rows.select("conv_id", "at", "role", head.alias("head"), escaped(F.col("text")).alias("body"), tail.alias("tail")).withColumn(
-        "length", (F.length("head") + F.length("body") + F.length("tail")).cast("long")
-    )
-    earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("start", F.coalesce(F.sum("length").over(earlier), F.lit(0)) + F.length("head"))
-    turn = F.struct("at", F.concat("head", "body", "tail").alias("piece"), "role", "start", F.length("body").cast("long").alias("length"))
-    collected = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
-    return collected.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = rows.withColumns({"roles": F.col("turns.role"), "bodies": F.transform("turns", lambda t: escaped(t["text"]))}).drop("turns")
+    # a block begins where the role is another one than before
+    begins = F.filter(F.sequence(F.lit(0), F.size("roles") - 1), lambda i: (i == 0) | (F.get("roles", i - 1) != F.get("roles", i)))
+    rows = rows.withColumn("begins", begins)
+    until = lambda k: F.coalesce(F.get("begins", k + 1), F.size("roles"))
+    block = lambda i, k: F.struct(F.get("roles", i).alias("role"), F.slice("bodies", i + 1, until(k) - i).alias("bodies"))
+    rows = rows.withColumn("blocks", F.transform("begins", block))
+
+    def spelled(block: Column) -> Column:
+        role = block["role"]
+        name = F.concat(F.lit("[ROLE]"), escaped(role), F.lit("[/ROLE]"))
+        head = _by_role(role, F.lit("[INST] "), F.lit("[SYS] "), F.lit("<s>"), name)
+        tail = _by_role(role, F.lit(" [/INST]"), F.lit(" [/SYS]"), F.lit("</s>"), F.lit("</s>"))
+        return F.concat(head, F.array_join(block["bodies"], "[NEXT]"), tail)
+
+    rows = rows.withColumn("pieces", F.transform("blocks", spelled))
+    rows = rows.withColumn("starts", running(F.transform("pieces", lambda p: F.length(p).cast("long"))))
+
+    def spans(block: Column, start: Column) -> Column:
+        lengths = F.transform(block["bodies"], lambda b: F.length(b).cast("long"))
+        before = running(F.transform(lengths, lambda n: n + len("[NEXT]")))
+        return F.zip_with(before, lengths, lambda at, n: F.struct((start + len("<s>") + at).alias("start"), n.alias("length")))
+
+    said = F.filter(F.arrays_zip("blocks", "starts"), lambda b: b["blocks"]["role"] == "assistant")
+    return rows.select("conv_id", F.array_join("pieces", "").alias("formatted"), F.flatten(F.transform(said, lambda b: spans(b["blocks"], b["starts"]))).alias("loss_spans"))
 
 
 def parsed(chats: DataFrame) -> DataFrame:
