@@ -118,3 +118,11 @@ def test_pairs_at_the_threshold_meet(length):
     one, two = (cp.hasher(length).keys(v) for v in (x, cp.COSINE * x + math.sqrt(1 - cp.COSINE**2) * z))
     meet = (one[:, :, :1] == two).any(axis=2) | (two[:, :, :1] == one).any(axis=2)
     assert meet.any(axis=1).mean() >= 0.998
+
+
+def test_very_small_and_large_magnitudes_and_long_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4, 1536))
+    data = [(10 * i + j, (x[i] * scale).tolist()) for i in range(4) for j, scale in enumerate((1.0, 1e-170, 3e200, 5e-300))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cp.op5(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {10 * i + j: (3, 10 * i) for i in range(4) for j in range(4)}
