@@ -8,6 +8,9 @@ Law `bytes`: the sizes of the shards are near equal.  The first map hands out sl
 shard so far, so two shards differ by at most the size of the last slots handed out.  One row larger than a whole shard's
 share cannot be split and stays one row.
 
+Equal texts are told by their `text_crc32` and `size`; copies with different ids are dealt apart like any other rows, so a
+group of copies, however large, fills no shard.
+
 Defined results: a null text has no bytes (size 1, crc32 0); a null id hashes like any value, together with its text, so
 neither many null ids nor one repeated id fill a single slot; fully equal rows share a slot and get positions in any order;
 an empty table gives an empty result; further columns of the input are not read and cannot clash.
@@ -61,9 +64,10 @@ def first_map(loads: DataFrame, slots: int, shards: int) -> DataFrame:
 
 
 def store_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a map to the versioned table at `path` and read that version back."""
+    """Store a map in the versioned table at `path` and read that version back.  A version that is there already is replaced, so
+    each slot has one row a version; other versions stay."""
     version = slot_map.select("version").limit(1)
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
     spark = slot_map.sparkSession
     stored = spark.read.parquet(path)
     return stored.join(F.broadcast(version), "version", "left_semi").select("virtual_slot", "shard", "bytes", "rows", "version")

@@ -87,3 +87,25 @@ def test_rebalance_moves_only_to_new_shards(spark, tmp_path):
         loads[r.shard] += r.bytes
     assert max(loads.values()) <= 1.1 * sum(loads.values()) / 17
     assert min(loads.values()) >= 0.85 * sum(loads.values()) / 17
+
+
+def test_a_version_stored_twice_has_each_slot_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(100)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    once = virtual_slots.shard_table(df, path).collect()
+    again = virtual_slots.shard_table(df, path).collect()
+    assert len(once) == len(again) == 100 and sorted(once) == sorted(again)
+    assert spark.read.parquet(path).count() == virtual_slots.SLOTS
+
+
+def test_long_chats_and_running_lengths(spark):
+    long = "word </s> " * 60_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, "assistant" if i % 5 else "user", f"t{i} \\") for i in range(3000)]
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.formatted(spark.createDataFrame(turns, CHATS))).collect()}
+    for conv in (1, 2):
+        loss = "".join(t[3] for t in turns if t[0] == conv and t[2] == "assistant")
+        assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[conv].n_turns == sum(t[0] == conv for t in turns)
+    sizes = [3, 0, 5] * 300
+    row = spark.createDataFrame([(sizes,), ([],), ([7],)], "n array<bigint>").select(chat_format.running(chat_format.F.col("n")).alias("upto")).collect()
+    assert [r.upto for r in row] == [[sum(sizes[:i]) for i in range(900)], [], [0]]
