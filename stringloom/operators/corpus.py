@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stringloom.sources.durable import written
+
 #: Ranges of ids over which running sums are cut.
 RANGES = 64
 
@@ -24,12 +26,12 @@ def merge_offsets(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     """`doc_id, start_at, end_at`: half-open ranges of the strings, merged by id.
 
     The running sum is cut at quantiles of the id: sums inside a range run in parallel, and the sums before each range are a
-    table of at most `ranges` rows."""
+    table of at most `ranges` rows.  Null ids are the first; strings are ranged by an exchange, whose ranges hold once written."""
     sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
-    cuts = sized.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")) if dict(docs.dtypes)["doc_id"] != "string" else None
-    if cuts is None:
-        ranged = sized.withColumn("range", F.ascii("doc_id"))
+    if dict(docs.dtypes)["doc_id"] == "string":
+        ranged = written(sized.repartitionByRange(ranges, "doc_id").withColumn("range", F.spark_partition_id()), "ranged-ids")
     else:
+        cuts = sized.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
         ranged = sized.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col("doc_id")))).drop("cuts")
     totals = ranged.groupBy("range").agg(F.sum("n").alias("total"))
     before = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("before"))

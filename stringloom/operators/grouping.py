@@ -47,7 +47,7 @@ def best_fit(roots: Roots, budget: int) -> list[int]:
     out = []
     for _, n in roots:
         at = bisect_left(bins, (n, -1))
-        room, number = bins.pop(at) if at < len(bins) else (budget, len(set(out)))
+        room, number = bins.pop(at) if at < len(bins) else (budget, len(bins))
         insort(bins, (room - n, number))
         out.append(number)
     return out

@@ -31,10 +31,10 @@ def equal_suffixes(suffixes: DataFrame) -> DataFrame:
     return suffixes.groupBy("suf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def interior(suffixes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+def interior(suffixes: DataFrame, budget: int, start: int = 2, step: int = 4) -> tuple[DataFrame, DataFrame]:
     """(cover roots `prefix, cnt, depth, stuck`, interior prefixes `prefix, below`): `depth` counts the branching proper
     prefixes of a root and `below` those of an interior prefix with itself; a stuck root is over budget but cannot grow."""
-    counts = over_budget_counts(suffixes, budget).withColumn("parent", F.expr("substring(prefix, 1, length(prefix) - 1)"))
+    counts = over_budget_counts(suffixes, budget, start, step).withColumn("parent", F.expr("substring(prefix, 1, length(prefix) - 1)"))
     stuck = (F.col("cnt") > budget) & (F.col("n_term") == F.col("cnt"))
     children = counts.groupBy(F.col("parent").alias("prefix")).agg(F.count(F.lit(1)).alias("children"))
     top = suffixes.limit(1).select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("n_term"))
@@ -83,18 +83,25 @@ def _depths_of_root(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"prefix": group["prefix"].iat[0], "doc_id": [r[1] for r in rows], "pos": [r[2] for r in rows], "depth": depths})
 
 
-def leaves(suffixes: DataFrame, budget: int) -> DataFrame:
-    """`prefix, doc_id, pos, depth` of every suffix, with its root or null for suffixes that are interior prefixes.
+def leaves_of_roots(suffixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`prefix, doc_id, pos, depth` of the suffixes below the given roots.
 
-    Suffixes are grouped by the roots of the cover, so no group is over the budget; suffixes that are interior prefixes, and
-    roots whose suffixes are all equal, need no group."""
-    roots, inside = interior(suffixes, budget)
+    Suffixes are grouped by root, so no group is over the budget; roots whose suffixes are all equal need no group."""
     placed = occurrences(suffixes, roots).join(roots, "prefix")
     kind = dict(suffixes.dtypes)["doc_id"]
     grouped = placed.where("NOT stuck").select("prefix", "depth", "doc_id", "pos", "suf").groupBy("prefix").applyInPandas(_depths_of_root, f"prefix string, doc_id {kind}, pos long, depth long")
-    equal = placed.where("stuck").select("prefix", "doc_id", "pos", (F.col("depth") + 1).alias("depth"))
-    ends = suffixes.join(inside, suffixes.suf == inside.prefix).select(F.lit(None).cast("string").alias("prefix"), "doc_id", "pos", F.col("below").alias("depth"))
-    return grouped.unionByName(equal).unionByName(ends)
+    return grouped.unionByName(placed.where("stuck").select("prefix", "doc_id", "pos", (F.col("depth") + 1).alias("depth")))
+
+
+def interior_leaves(suffixes: DataFrame, inside: DataFrame) -> DataFrame:
+    """The same of suffixes that are interior prefixes themselves; they have no root."""
+    return suffixes.join(inside, suffixes.suf == inside.prefix).select(F.lit(None).cast("string").alias("prefix"), "doc_id", "pos", F.col("below").alias("depth"))
+
+
+def leaves(suffixes: DataFrame, budget: int) -> DataFrame:
+    """`prefix, doc_id, pos, depth` of every suffix, with its root or null for suffixes that are interior prefixes."""
+    roots, inside = interior(suffixes, budget)
+    return leaves_of_roots(suffixes, roots).unionByName(interior_leaves(suffixes, inside))
 
 
 def leaf_depth(suffixes: DataFrame, budget: int) -> DataFrame:
@@ -108,10 +115,18 @@ def leaf_depth_relational(suffixes: DataFrame) -> DataFrame:
     return suffixes.select("doc_id", "pos").join(hits, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def leaf_lines(suffixes: DataFrame, budget: int) -> DataFrame:
-    """`file, line`: the result lines `depth doc:pos` and the file of their root; suffixes that are interior prefixes are in
-    `MainTrieRes`."""
+#: Names of the result files.
+ROOT_FILE, INTERIOR_FILE = "subtreeForRoot_", "MainTrieRes"
+
+
+def lines_of(leaves: DataFrame) -> DataFrame:
+    """`file, line`: the result lines `depth doc:pos` and the file of their root, or of all suffixes without one."""
     codes = F.array_join(F.transform(F.split("prefix", ""), lambda c: F.ascii(c).cast("string")), "_")
-    file = F.coalesce(F.concat(F.lit("subtreeForRoot_"), codes, F.lit("_")), F.lit("MainTrieRes"))
+    file = F.coalesce(F.concat(F.lit(ROOT_FILE), codes, F.lit("_")), F.lit(INTERIOR_FILE))
     line = F.concat(F.col("depth").cast("string"), F.lit(" "), F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))
-    return leaves(suffixes, budget).select(file.alias("file"), line.alias("line"))
+    return leaves.select(file.alias("file"), line.alias("line"))
+
+
+def leaf_lines(suffixes: DataFrame, budget: int) -> DataFrame:
+    """The result lines of every suffix."""
+    return lines_of(leaves(suffixes, budget))

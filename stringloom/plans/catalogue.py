@@ -6,13 +6,15 @@ Short-string corpora are `part.p_name` and `customer.c_name`; `benchmark.text` a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.functions.strings import packed_segment
-from stringloom.operators import corpus, grouping, prefixes, suffix_array, tree, validate
+from stringloom.operators import build, corpus, grouping, prefixes, suffix_array, tree, validate
+from stringloom.operators.config import IndexConfig
 from stringloom.sources.durable import written
 
 BUDGET = 500
@@ -302,6 +304,11 @@ def suffix_array_refined(spark, sf_dir):
     return suffix_array.refined_ranks(docs(spark, sf_dir, "benchmark", "item_id", "text"), 8, lambda df: written(df, "ranks"))
 
 
+@query(end(_with("benchmark", "item_id", "text") + SORTED + "SELECT doc_id, pos, sa_rank, lcp FROM l"))
+def lcp_array_refined(spark, sf_dir):
+    return suffix_array.refined_lcp(docs(spark, sf_dir, "benchmark", "item_id", "text"), 8, lambda df: written(df, "ranks"))
+
+
 @query(end(PART + SORTED + "SELECT method, doc_id, pos, sa_rank FROM sa, (SELECT unnest(['ins', 'radix', 'radix_ins', 'naive_quick', 'java']) AS method)"))
 def sort_methods(spark, sf_dir):
     own = part_suffixes(spark, sf_dir)
@@ -367,6 +374,14 @@ def leaf_lines(spark, sf_dir):
     return tree.leaf_lines(part_suffixes(spark, sf_dir), BUDGET)
 
 
+@query(end(PART + LINES + "SELECT file, line FROM f"))
+def built_lines(spark, sf_dir):
+    """The result lines by the build program's rounds of buckets."""
+    config = IndexConfig(max_count=BUDGET, budget_factor=BUCKET_BUDGET / BUDGET, n_partitions=3)
+    interior, rounds = build.build_rounds(build.checked_alphabet(parts(spark, sf_dir), config.alphabet), config)
+    return tree.lines_of(reduce(DataFrame.unionByName, rounds, interior))
+
+
 # Checker ---------------------------------------------------------------------------------------------------------------
 
 

@@ -31,9 +31,14 @@ def read_lines_of_whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n")).alias("line")).where("line != ''")
 
 
-def write_result(lines: DataFrame, folder: str) -> None:
-    """Write `file, line` as one text folder for each file name, replacing earlier results."""
-    lines.select("file", "line").write.mode("overwrite").partitionBy("file").text(folder)
+def write_result(lines: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Write `file, line` as one text folder for each file name, replacing earlier results or, by mode, adding to them."""
+    lines.select("file", "line").write.mode(mode).partitionBy("file").text(folder)
+
+
+def read_result(spark: SparkSession, folder: str) -> DataFrame:
+    """`file, line` of a written result."""
+    return spark.read.text(folder).select("file", F.col("value").alias("line"))
 
 
 def write_collection(corpus: DataFrame, folder: str) -> None:

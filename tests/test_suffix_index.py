@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import corpus, grouping, prefixes, suffix_array, tree
+from stringloom.operators import build, corpus, grouping, prefixes, suffix_array, tree
 from stringloom.operators.config import IndexConfig, size_of
 from stringloom.sources import files
 from stringloom.sources.durable import written
@@ -188,3 +188,44 @@ def test_empty_corpus(spark):
     sfx = corpus.suffixes(docs)
     for df in (sfx, corpus.merge_offsets(docs), corpus.input_splits(docs, 3), prefixes.s_prefix_cover(sfx, 5), suffix_array.suffix_array(sfx), tree.leaf_depth(sfx, 5), tree.leaf_depth_relational(sfx)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("budget", (2_000_000, 5))
+def test_build_program(spark, tmp_path, budget):
+    for name, text in DEMO.items():
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    config = IndexConfig(input_dir=f"file://{tmp_path}/in", output_location=f"file://{tmp_path}/out", max_count=budget, n_partitions=2)
+    for _ in range(2):
+        rounds = build.build(spark, config)
+    rows = files.read_result(spark, config.output_location).collect()
+    depths = {(d, i): n for (d, i), n in brute_depths(DEMO).items()}
+    assert sorted(r.line for r in rows) == sorted(f"{n} {d}:{i}" for (d, i), n in depths.items())
+    if budget > 5:
+        assert rounds == 1 and {r.file for r in rows} == {f"subtreeForRoot_{c}_" for c in (65, 67, 71, 84)}
+    else:
+        assert rounds > 1
+    with pytest.raises(Exception, match="beyond the first 80"):
+        build.build(spark, IndexConfig(input_dir=config.input_dir, output_location=config.output_location, alphabet=80))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_refined_common_prefixes(spark, seed):
+    rng = random.Random(seed)
+    texts = {f"d{i}": "".join(rng.choice("ab") for _ in range(rng.randrange(90))) for i in range(6)}
+    texts |= {"e": texts["d0"], "f": "ab" * 60, "g": "ab" * 40 + "a", "h": "", "i": None}
+    rows = sorted((t[i:] + LAST, d, i) for d, t in texts.items() for i in range(len(t or "")))
+    want, before = {}, None
+    for at, (s, d, i) in enumerate(rows):
+        n = 0
+        while before is not None and n < min(len(s), len(before)) - 1 and s[n] == before[n]:
+            n += 1
+        want[d, i], before = (at, n), s
+    got = suffix_array.refined_lcp(frame(spark, texts), 4, lambda df: written(df, "ranks")).collect()
+    assert {(r.doc_id, r.pos): (r.sa_rank, r.lcp) for r in got} == want
+
+
+def test_offsets_of_string_ids(spark):
+    rows = [(None, "ab"), ("b", "c"), ("aa", "def"), ("ab", None), ("a", "g")]
+    found = corpus.merge_offsets(spark.createDataFrame(rows, "doc_id string, text string"), 3).collect()
+    assert {r.doc_id: (r.start_at, r.end_at) for r in found} == {None: (0, 2), "a": (2, 3), "aa": (3, 6), "ab": (6, 6), "b": (6, 7)}
