@@ -2,45 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: Only used where the session names no folder, as in tests on one machine.
-LOCAL_FOLDER = "/tmp/stringloom-shared"
+from stringloom.sources.durable import shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or our own where it is unset."""
-    return spark.conf.get(CHECKPOINT_KEY, None) or LOCAL_FOLDER
-
-
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "bucketed", "shared_folder", "shuffle_partitions", "table", "written"]
 
 
 def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """Write `df` as a table bucketed by `key` in the shared folder, so that later joins on `key` leave its rows in place."""
+    """Write `df` as a table bucketed by `key` in the shared folder, so that later joins on `key` leave its rows in place.  The
+    catalogue forgets the table when the driver ends."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    df.write.option("compression", "none").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    df.write.option("compression", "none").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    atexit.register(_forget, spark, name)
     return spark.table(name)
 
 
+def _forget(spark: SparkSession, name: str) -> None:
+    # a session that was stopped before has taken a catalogue of its own with it
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 #: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and the Python worker at once.
 BATCH_ROWS = 1000
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, with the session's Arrow batches held to `BATCH_ROWS` rows."""
+    """`df`, with the session's Arrow batches held to `BATCH_ROWS` rows: Spark has no setting for one query, and smaller batches
+    change no result."""
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
         conf.set(BATCH_KEY, str(BATCH_ROWS))
