@@ -229,3 +229,17 @@ def test_offsets_of_string_ids(spark):
     rows = [(None, "ab"), ("b", "c"), ("aa", "def"), ("ab", None), ("a", "g")]
     found = corpus.merge_offsets(spark.createDataFrame(rows, "doc_id string, text string"), 3).collect()
     assert {r.doc_id: (r.start_at, r.end_at) for r in found} == {None: (0, 2), "a": (2, 3), "aa": (3, 6), "ab": (6, 6), "b": (6, 7)}
+
+
+def test_order_check_finds_what_is_wrong(spark, monkeypatch):
+    sfx = corpus.suffixes(frame(spark, DEMO | {"2": "GGTGATGGTGC"}))
+    good = written(suffix_array.suffix_array(sfx).join(suffix_array.lcp_array(sfx), ["doc_id", "pos"]), "claimed")
+    check = lambda claimed: tuple(suffix_array.order_check(sfx, claimed).first())
+    swapped = F.when(F.col("sa_rank") == 4, 5).when(F.col("sa_rank") == 5, 4).otherwise(F.col("sa_rank"))
+    for size in (1 << 16, 5):
+        monkeypatch.setattr(suffix_array, "ORDER_RANGE", size)
+        assert check(good) == (34, 0)
+        assert check(good.withColumn("lcp", F.col("lcp") + (F.col("sa_rank") % 10 == 9).cast("long"))) == (34, 3)
+        assert check(good.withColumn("sa_rank", swapped.cast("long")))[1] > 0
+        assert check(good.where("sa_rank <> 7"))[1] == 2
+        assert check(good.withColumn("sa_rank", F.col("sa_rank") + (F.col("sa_rank") >= 20).cast("long"))) == (34, 1)
