@@ -127,3 +127,25 @@ def test_each_bucket_has_a_partition_of_its_own(spark):
         rows = spark.createDataFrame([(int(r), b) for b, r in enumerate(routes)], "route int, bucket int")
         found = rows.repartition(n, "route").selectExpr("spark_partition_id() AS p", "bucket").collect()
         assert sorted(r.p for r in found) == list(range(n)) and all(r.p == r.bucket for r in found)
+
+
+def test_spans_of_a_reference(spark):
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    reference = [say(rng.randrange(60)) for _ in range(12)] + [[]]
+    docs = [say(20) + reference[i][3:25] + say(5) + reference[(i + 1) % 12] for i in range(12)] + [reference[0], []]
+    rows = [(i, " ".join(w), "c") for i, w in enumerate(docs)] + [(98, None, "c"), (0, " ".join(docs[0]), "c"), (99, "  ".join(reference[1][:5]), None)]
+    texts = spark.createDataFrame([(" ".join(w),) for w in reference] + [(None,)], "text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    known = {tuple(w[i : i + 6]) for w in reference for i in range(len(w) - 5)}
+    want = []
+    for i, text, c in rows:
+        words = (text or "").split()
+        gone = {j + k for j in range(len(words) - 5) if tuple(words[j : j + 6]) in known for k in range(6)}
+        want.append((i, " ".join(w for j, w in enumerate(words) if j not in gone) if gone else text, c))
+    key = lambda r: (r[0], r[1] or "", r[2] or "")
+    for size in (60, 1 << 20):
+        got = substring_dedup.without_reference(df, texts, 6, size)
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert substring_dedup.without_reference(df, texts.limit(0), 6).count() == len(rows)
+    assert substring_dedup.without_reference(df.limit(0), texts, 6).count() == 0
