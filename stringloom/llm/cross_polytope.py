@@ -11,6 +11,9 @@ precision, block by block; a pair with cosine >= 0.95 is a link.  A pair that me
 of them only, which both sides can tell from the vectors alone, so links are counted without being listed: a bucket gives one
 row of partial counts for each member and one row of its local component.
 
+Cost: counting the links of n different vectors that are all near each other takes n * n comparisons, as the count itself says;
+they are dealt out as pairs of parts, in each of which a vector moves once, so tasks stay of one size whatever n is.
+
 Defined results: null vectors, zero vectors and vectors with null or non-finite components link with nothing; so do vectors
 of another length than the one compared with (lengths are kept apart); rows that share a `vec_id` are told apart by their
 vectors, and equal rows are linked copies; further columns are ignored.
@@ -238,8 +241,10 @@ def near_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     dealt = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.withColumns({"low_part": F.least("part", "other"), "high_part": F.greatest("part", "other")})
-    full = dealt.drop("other", "n").join(classes.select("node", "vector", "copies"), "node")
-    shards = max(shuffle_partitions(rows.sparkSession), keyed.count() // SHARD_ROWS)
+    dealt = written(dealt.drop("other", "n"), "vector-units")
+    full = dealt.join(classes.select("node", "vector", "copies"), "node")
+    # sized by what was dealt out, copies for the other parts included
+    shards = max(shuffle_partitions(rows.sparkSession), dealt.count() // SHARD_ROWS)
     shard = F.pmod(F.xxhash64("bucket", "low_part", "high_part"), F.lit(shards))
     found = written(full.groupBy(shard).applyInArrow(_linked, "node long, links long, low long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
