@@ -38,7 +38,7 @@ WINDOW = 13
 GRAM = 4
 #: Words whose bytes are indexed at once.
 SLICE = 1 << 15
-#: Text of a broadcast reference shard; its automaton takes some 75 times that in a worker.
+#: Text of a broadcast reference shard; its automaton takes some 150 times that in a worker.
 REFERENCE_BYTES = 1 << 20
 
 
