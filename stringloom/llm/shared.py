@@ -29,17 +29,18 @@ def _forget(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and the Python worker at once.
-BATCH_ROWS = 1000
-BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch at most: texts can be long, and a batch is held by the JVM and the Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+ROWS_KEY, BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, with the session's Arrow batches held to `BATCH_ROWS` rows: Spark has no setting for one query, and smaller batches
-    change no result."""
+    """`df`, with the session's Arrow batches held to `BATCH_ROWS` rows and, beyond one row, `BATCH_BYTES` bytes: Spark has no
+    setting for one query, and smaller batches change no result."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
-        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    if not 0 < int(conf.get(ROWS_KEY)) <= BATCH_ROWS:
+        conf.set(ROWS_KEY, str(BATCH_ROWS))
+    conf.set(BYTES_KEY, f"{BATCH_BYTES}b")
     return df
 
 
