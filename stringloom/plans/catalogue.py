@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.functions.strings import packed_segment
-from stringloom.operators import build, corpus, grouping, prefixes, suffix_array, tree, validate
+from stringloom.operators import build, corpus, grouping, intervals, prefixes, suffix_array, tree, validate
 from stringloom.operators.config import IndexConfig
 from stringloom.sources.durable import written
 
@@ -353,6 +353,11 @@ def leaf_depth(spark, sf_dir):
     return tree.leaf_depth(part_suffixes(spark, sf_dir), BUDGET)
 
 
+@query(end(_with("benchmark", "item_id", "text") + BRANCHING + DEPTH + "SELECT doc_id, pos, depth FROM d"))
+def leaf_depth_refined(spark, sf_dir):
+    return intervals.leaf_depth_long(docs(spark, sf_dir, "benchmark", "item_id", "text"), 8, lambda df: written(df, "ranks"))
+
+
 @query(end(CUSTOMER + BRANCHING + DEPTH + "SELECT doc_id, pos, depth FROM d"))
 def leaf_depth_relational(spark, sf_dir):
     return tree.leaf_depth_relational(customer_suffixes(spark, sf_dir))

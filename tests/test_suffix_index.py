@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import build, corpus, grouping, prefixes, suffix_array, tree
+from stringloom.operators import build, corpus, grouping, intervals, prefixes, suffix_array, tree
 from stringloom.operators.config import IndexConfig, size_of
 from stringloom.sources import files
 from stringloom.sources.durable import written
@@ -243,3 +243,21 @@ def test_order_check_finds_what_is_wrong(spark, monkeypatch):
         assert check(good.withColumn("sa_rank", swapped.cast("long")))[1] > 0
         assert check(good.where("sa_rank <> 7"))[1] == 2
         assert check(good.withColumn("sa_rank", F.col("sa_rank") + (F.col("sa_rank") >= 20).cast("long"))) == (34, 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_depths_of_long_strings(spark, seed):
+    rng = random.Random(seed)
+    texts = {str(i): "".join(rng.choices("ab" if seed else "a", k=rng.randint(0, 40))) for i in range(6)} | {"copy": "abab" * 8, "copy2": "abab" * 8, "null": None}
+    cut = lambda df: written(df, "ranks")
+    want = brute_depths(texts)
+    order = cut(suffix_array.refined_lcp(frame(spark, texts), 4, cut))
+    for size, fan in ((7, 2), (1, 16)):
+        assert got_depths(intervals.leaf_depths(order, cut, size, fan)) == want
+
+
+def test_depths_of_long_strings_edges(spark):
+    cut = lambda df: written(df, "ranks")
+    assert got_depths(intervals.leaf_depth_long(frame(spark, {"0": None}), 4, cut)) == {}
+    assert got_depths(intervals.leaf_depth_long(frame(spark, {"0": "x"}), 4, cut)) == {("0", 0): 0}
+    assert got_depths(intervals.leaf_depth_long(frame(spark, DEMO), 4, cut)) == brute_depths(DEMO)
