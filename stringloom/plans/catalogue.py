@@ -358,6 +358,12 @@ def leaf_depth_refined(spark, sf_dir):
     return intervals.leaf_depth_long(docs(spark, sf_dir, "benchmark", "item_id", "text"), 8, lambda df: written(df, "ranks"))
 
 
+@query()
+def leaf_depth_documents(spark, sf_dir):
+    """Of every suffix of every whole text; SQL over all prefixes of all suffixes would not end."""
+    return intervals.leaf_depth_long(documents(spark, sf_dir), 8, lambda df: written(df, "ranks"))
+
+
 @query(end(CUSTOMER + BRANCHING + DEPTH + "SELECT doc_id, pos, depth FROM d"))
 def leaf_depth_relational(spark, sf_dir):
     return tree.leaf_depth_relational(customer_suffixes(spark, sf_dir))

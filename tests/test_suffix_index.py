@@ -261,3 +261,11 @@ def test_depths_of_long_strings_edges(spark):
     assert got_depths(intervals.leaf_depth_long(frame(spark, {"0": None}), 4, cut)) == {}
     assert got_depths(intervals.leaf_depth_long(frame(spark, {"0": "x"}), 4, cut)) == {("0", 0): 0}
     assert got_depths(intervals.leaf_depth_long(frame(spark, DEMO), 4, cut)) == brute_depths(DEMO)
+
+
+@pytest.mark.parametrize("piece", (1, 3, 256))
+def test_heads_of_suffixes(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_array, "PIECE", piece)
+    texts = {"0": "a\u00f1\U0001d11eb" * 3, "1": "x", "2": "", "3": None, "4": "abcdef"}
+    got = {(r.doc_id, r.pos): (r.size, r["head"]) for r in suffix_array._heads(frame(spark, texts), 4).collect()}
+    assert got == {(d, i): (len(t), t[i : i + 4]) for d, t in texts.items() for i in range(len(t or ""))}
