@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.functions.strings import prefix
+from stringloom.operators.joins import looked_up, merged
 from stringloom.sources.durable import written
 
 
@@ -38,14 +39,14 @@ def over_budget_counts(suffixes: DataFrame, budget: int, start: int = 2, step: i
     while True:
         counts = prefix_freq(live, low, high)
         parents = counts.where(F.col("cnt") > budget).select(F.col("prefix").alias("parent"))
-        below = counts.where(F.length("prefix") > low).join(parents, F.expr("substring(prefix, 1, length(prefix) - 1)") == F.col("parent"), "left_semi")
+        below = merged(counts.where(F.length("prefix") > low), parents, F.expr("substring(prefix, 1, length(prefix) - 1)") == F.col("parent"), "left_semi")
         # written each round: the next rounds and the result read it, and plans must not grow with the rounds
         kept = written(counts.where(F.length("prefix") == low).unionByName(below), "prefix-round")
         found = kept if found is None else found.unionByName(kept)
         targets = kept.where((F.col("cnt") > budget) & (F.length("prefix") == high) & (F.col("n_term") < F.col("cnt"))).select("prefix")
         if not targets.limit(1).count():
             return found
-        live = live.join(targets, prefix(F.col("suf"), high) == F.col("prefix"), "left_semi")
+        live = looked_up(live.withColumn("prefix", prefix(F.col("suf"), high)), targets, "prefix", "left_semi").drop("prefix")
         low, high = high + 1, high + step
 
 
@@ -102,14 +103,14 @@ def cover_summary(cover: DataFrame) -> DataFrame:
 
 
 def occurrences(suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
-    """`prefix, doc_id, pos, suf` of every place where a pattern of `patterns(prefix)` starts.
+    """`prefix, doc_id, pos, suf` of every place where a pattern of `patterns(prefix)` starts, and what else `patterns` has.
 
-    Each suffix offers one key for each distinct pattern length; the lengths are few and the join on (length, text) is left to
-    the optimizer, which broadcasts the patterns only if they are small."""
+    Each suffix offers one key for each distinct pattern length.  The patterns, which should be written, are counted and broadcast
+    only if they are small; the keys never are."""
     sizes = patterns.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("sizes"))
     offered = suffixes.crossJoin(F.broadcast(sizes)).select("doc_id", "pos", F.explode(F.filter("sizes", lambda n: n <= F.length("suf"))).alias("n"), "suf")
     keys = offered.select("doc_id", "pos", "suf", F.expr("substring(suf, 1, n)").alias("prefix"))
-    return keys.join(patterns.select("prefix"), "prefix").select("prefix", "doc_id", "pos", "suf")
+    return looked_up(keys, patterns, "prefix").select("prefix", "doc_id", "pos", "suf", *(c for c in patterns.columns if c != "prefix"))
 
 
 def terminal_attach(suffixes: DataFrame, k: int, budget: int) -> DataFrame:

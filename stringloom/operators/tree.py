@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stringloom.functions.strings import END
+from stringloom.operators.joins import looked_up, merged
 from stringloom.operators.prefixes import occurrences, over_budget_counts
+from stringloom.sources.durable import written
 
 
 def branching(suffixes: DataFrame) -> DataFrame:
@@ -38,21 +40,21 @@ def interior(suffixes: DataFrame, budget: int, start: int = 2, step: int = 4) ->
     stuck = (F.col("cnt") > budget) & (F.col("n_term") == F.col("cnt"))
     children = counts.groupBy(F.col("parent").alias("prefix")).agg(F.count(F.lit(1)).alias("children"))
     top = suffixes.limit(1).select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("n_term"))
-    inner = counts.where((F.col("cnt") > budget) & ~stuck).select("prefix", "n_term").unionByName(top).join(children, "prefix", "left")
+    inner = merged(counts.where((F.col("cnt") > budget) & ~stuck).select("prefix", "n_term").unionByName(top), children, "prefix", "left")
     forks = inner.select("prefix", (F.coalesce("children", F.lit(0)) + F.col("n_term") >= 2).cast("long").alias("fork"))
     ups = lambda df: df.select("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring(F.col("prefix"), F.lit(1), n))).alias("up"))
-    above = lambda df: ups(df).join(forks.select(F.col("prefix").alias("up"), "fork"), "up").groupBy("prefix").agg(F.sum("fork").alias("depth"))
+    above = lambda df: merged(ups(df), forks.select(F.col("prefix").alias("up"), "fork"), "up").groupBy("prefix").agg(F.sum("fork").alias("depth"))
     roots = counts.where((F.col("cnt") <= budget) | stuck).select("prefix", "cnt", stuck.alias("stuck"))
     # a root is never interior, so only its proper prefixes are found
-    roots = roots.join(above(roots), "prefix", "left").select("prefix", "cnt", F.coalesce("depth", F.lit(0)).alias("depth"), "stuck")
+    roots = merged(roots, above(roots), "prefix", "left").select("prefix", "cnt", F.coalesce("depth", F.lit(0)).alias("depth"), "stuck")
     inside = inner.select("prefix")
-    return roots, inside.join(above(inside), "prefix", "left").select("prefix", F.coalesce("depth", F.lit(0)).alias("below"))
+    return roots, merged(inside, above(inside), "prefix", "left").select("prefix", F.coalesce("depth", F.lit(0)).alias("below"))
 
 
 def interior_terminals(suffixes: DataFrame, budget: int) -> DataFrame:
     """`doc_id, pos, depth` of suffixes that are interior prefixes."""
     _, inside = interior(suffixes, budget)
-    return suffixes.join(inside, suffixes.suf == inside.prefix).select("doc_id", "pos", F.col("below").alias("depth"))
+    return interior_leaves(suffixes, written(inside, "interior")).select("doc_id", "pos", "depth")
 
 
 def _depths_of_root(group: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +89,7 @@ def leaves_of_roots(suffixes: DataFrame, roots: DataFrame) -> DataFrame:
     """`prefix, doc_id, pos, depth` of the suffixes below the given roots.
 
     Suffixes are grouped by root, so no group is over the budget; roots whose suffixes are all equal need no group."""
-    placed = occurrences(suffixes, roots).join(roots, "prefix")
+    placed = occurrences(suffixes, roots)
     kind = dict(suffixes.dtypes)["doc_id"]
     grouped = placed.where("NOT stuck").select("prefix", "depth", "doc_id", "pos", "suf").groupBy("prefix").applyInPandas(_depths_of_root, f"prefix string, doc_id {kind}, pos long, depth long")
     return grouped.unionByName(placed.where("stuck").select("prefix", "doc_id", "pos", (F.col("depth") + 1).alias("depth")))
@@ -95,12 +97,12 @@ def leaves_of_roots(suffixes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def interior_leaves(suffixes: DataFrame, inside: DataFrame) -> DataFrame:
     """The same of suffixes that are interior prefixes themselves; they have no root."""
-    return suffixes.join(inside, suffixes.suf == inside.prefix).select(F.lit(None).cast("string").alias("prefix"), "doc_id", "pos", F.col("below").alias("depth"))
+    return looked_up(suffixes.withColumn("prefix", F.col("suf")), inside, "prefix").select(F.lit(None).cast("string").alias("prefix"), "doc_id", "pos", F.col("below").alias("depth"))
 
 
 def leaves(suffixes: DataFrame, budget: int) -> DataFrame:
     """`prefix, doc_id, pos, depth` of every suffix, with its root or null for suffixes that are interior prefixes."""
-    roots, inside = interior(suffixes, budget)
+    roots, inside = (written(df, "interior") for df in interior(suffixes, budget))
     return leaves_of_roots(suffixes, roots).unionByName(interior_leaves(suffixes, inside))
 
 
