@@ -17,10 +17,11 @@ from stringloom.sources.durable import written
 
 
 def branching(suffixes: DataFrame) -> DataFrame:
-    """`prefix, n_leaves` of all branching prefixes, by one aggregate over all prefixes of all suffixes (short strings)."""
-    each = suffixes.select("suf", F.explode(F.sequence(F.lit(0), F.length("suf"))).alias("n"))
-    rows = each.select(F.expr("substring(suf, 1, n)").alias("prefix"), F.expr("substring(suf, n + 1, 1)").alias("next"))
-    kinds = rows.groupBy("prefix", "next").agg(F.count(F.lit(1)).alias("n"))
+    """`prefix, n_leaves` of all branching prefixes, by one aggregate over all prefixes of all different suffixes (short strings)."""
+    times = suffixes.groupBy("suf").agg(F.count(F.lit(1)).alias("times"))
+    each = times.select("suf", "times", F.explode(F.sequence(F.lit(0), F.length("suf"))).alias("n"))
+    rows = each.select("times", F.expr("substring(suf, 1, n)").alias("prefix"), F.expr("substring(suf, n + 1, 1)").alias("next"))
+    kinds = rows.groupBy("prefix", "next").agg(F.sum("times").alias("n"))
     nodes = kinds.groupBy("prefix").agg(F.sum("n").alias("n_leaves"), F.sum(F.when(F.col("next") == "", F.col("n")).otherwise(1)).alias("ways"))
     return nodes.where("ways >= 2").select("prefix", "n_leaves")
 
@@ -111,10 +112,10 @@ def leaf_depth(suffixes: DataFrame, budget: int) -> DataFrame:
 
 
 def leaf_depth_relational(suffixes: DataFrame) -> DataFrame:
-    """The same by joins only, over all prefixes of all suffixes (short strings)."""
-    ups = suffixes.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.length("suf")), lambda n: F.substring(F.col("suf"), F.lit(1), n))).alias("prefix"))
-    hits = ups.join(branching(suffixes).select("prefix"), "prefix").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("depth"))
-    return suffixes.select("doc_id", "pos").join(hits, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("depth", F.lit(0)).alias("depth"))
+    """The same by joins only, over all prefixes of all different suffixes (short strings); equal suffixes are equally deep."""
+    ups = suffixes.select("suf").distinct().select("suf", F.explode(F.transform(F.sequence(F.lit(0), F.length("suf")), lambda n: F.substring(F.col("suf"), F.lit(1), n))).alias("prefix"))
+    hits = merged(ups, branching(suffixes).select("prefix"), "prefix").groupBy("suf").agg(F.count(F.lit(1)).alias("depth"))
+    return merged(suffixes, hits, "suf", "left").select("doc_id", "pos", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 #: Names of the result files.
