@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stringloom.operators.joins import merged
+
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """`name, depth` of the lines with exactly two fields parted by a space; other lines are dropped.  Both stay strings."""
@@ -19,7 +21,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
 
 def compared(correct: DataFrame, judged: DataFrame) -> DataFrame:
     """`name, correct_res, judge_res` of the names both sides have."""
-    return correct.select("name", F.col("depth").alias("correct_res")).join(judged.select("name", F.col("depth").alias("judge_res")), "name")
+    return merged(correct.select("name", F.col("depth").alias("correct_res")), judged.select("name", F.col("depth").alias("judge_res")), "name")
 
 
 def mismatches(correct: DataFrame, judged: DataFrame) -> DataFrame:
