@@ -89,10 +89,12 @@ def _depths_of_root(group: pd.DataFrame) -> pd.DataFrame:
 def leaves_of_roots(suffixes: DataFrame, roots: DataFrame) -> DataFrame:
     """`prefix, doc_id, pos, depth` of the suffixes below the given roots.
 
-    Suffixes are grouped by root, so no group is over the budget; roots whose suffixes are all equal need no group."""
+    Suffixes are grouped by root, so no group is over the budget; roots whose suffixes are all equal need no group.  Where roots
+    have a `bucket`, a bucket's groups go to one task."""
     placed = occurrences(suffixes, roots)
+    keys = [c for c in ("bucket", "prefix") if c in roots.columns]
     kind = dict(suffixes.dtypes)["doc_id"]
-    grouped = placed.where("NOT stuck").select("prefix", "depth", "doc_id", "pos", "suf").groupBy("prefix").applyInPandas(_depths_of_root, f"prefix string, doc_id {kind}, pos long, depth long")
+    grouped = placed.where("NOT stuck").select(*keys, "depth", "doc_id", "pos", "suf").repartition(keys[0]).groupBy(*keys).applyInPandas(_depths_of_root, f"prefix string, doc_id {kind}, pos long, depth long")
     return grouped.unionByName(placed.where("stuck").select("prefix", "doc_id", "pos", (F.col("depth") + 1).alias("depth")))
 
 
