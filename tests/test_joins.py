@@ -10,7 +10,7 @@ from stringloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that sent all suffixes to the driver.
-QUERIES = ("leaf_depth", "leaf_lines", "parse_result_lines", "leaf_depth_relational", "validation_mismatches", "next_chunk", "order_check", "built_lines", "interior_terminals", "parse_result_lines_whole", "validation_summary")
+QUERIES = ("leaf_depth", "leaf_lines", "parse_result_lines", "leaf_depth_relational", "validation_mismatches", "next_chunk", "order_check", "built_lines", "interior_terminals", "parse_result_lines_whole", "validation_summary", "validation_join")
 
 
 def broadcast_explodes(df):
