@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from stringloom.operators.joins import looked_up
+from stringloom.operators.joins import looked_up, narrowed
 from stringloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -44,3 +44,10 @@ def test_looked_up(spark, limit, join):
         got = looked_up(rows, table, "key", how, limit)
         assert sorted((r.id, r.value) for r in got.collect()) == want
         assert join in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("limit", "want"), [(0, {(1, 1), (1, 5), (1, 9), (2, 1), (None, 1)}), (1 << 20, {(1, 5), (1, 9)})])
+def test_narrowed(spark, limit, want):
+    rows = spark.createDataFrame([(1, 1), (1, 5), (1, 9), (2, 1), (None, 1)], "doc_id long, pos long")
+    places = spark.createDataFrame([(1, 4), (1, 9), (3, 1), (None, 1)], "doc_id long, pos long")
+    assert {tuple(r) for r in narrowed(rows, places, limit).collect()} == want

@@ -1,5 +1,6 @@
 """The suffix index against fixed answers and brute force."""
 
+import functools
 import random
 from collections import Counter
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stringloom.operators import build, corpus, grouping, intervals, prefixes, suffix_array, tree
 from stringloom.operators.config import IndexConfig, size_of
+from stringloom.operators.joins import merged
 from stringloom.sources import files
 from stringloom.sources.durable import written
 
@@ -263,6 +265,36 @@ def test_depths_of_long_strings_edges(spark):
     assert got_depths(intervals.leaf_depth_long(frame(spark, DEMO), 4, cut)) == brute_depths(DEMO)
 
 
+@pytest.mark.parametrize("size", (1, 3, 1 << 16))
+def test_depths_of_copied_texts(spark, monkeypatch, size):
+    cut = lambda df: written(df, "ranks")
+    monkeypatch.setattr(intervals, "leaf_depths", functools.partial(intervals.leaf_depths, size=size, fan=2))
+    rng = random.Random(size)
+    texts = ["".join(rng.choices("ab", k=rng.randint(1, 12))) for _ in range(4)] + ["abcab", "cab", "x\u00f1" * 9]
+    for rows in (["x"] * 2, ["zzz"] * 3, [t for i, t in enumerate(texts) for _ in range(1 + i % 3)] + [None, ""]):
+        # ids are null, repeated, or both: each row is a string of its own
+        ids = [None if i % 4 == 3 else i // 2 for i in range(len(rows))]
+        brute = brute_depths({str(i): t or "" for i, t in enumerate(rows)})
+        want = Counter((ids[int(d)], at, depth) for (d, at), depth in brute.items())
+        got = intervals.leaf_depth_long(spark.createDataFrame(list(zip(ids, rows, strict=True)), "doc_id long, text string"), 4, cut).collect()
+        assert Counter(map(tuple, got)) == want
+
+
+def test_long_strings_are_joined_by_shuffles(spark, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, "ranks")
+
+    # but for counted tables, which are small here
+    monkeypatch.setattr(suffix_array, "narrowed", lambda rows, places: rows, raising=False)
+    monkeypatch.setattr(intervals, "looked_up", merged, raising=False)
+    depths = intervals.leaf_depth_long(frame(spark, DEMO | {"2": DEMO["0"] * 3}), 4, cut)
+    plans.append(depths._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 @pytest.mark.parametrize("piece", (1, 3, 256))
 def test_heads_of_suffixes(spark, monkeypatch, piece):
     monkeypatch.setattr(suffix_array, "PIECE", piece)
